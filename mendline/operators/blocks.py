@@ -56,36 +56,46 @@ def fetch_blocks(sales: DataFrame, periods: Iterable[str]) -> DataFrame:
     return sales.filter(in_blocks(periods))
 
 
-def _block_key(df: DataFrame) -> DataFrame:
-    return df.select(F.coalesce("period", F.lit("")).alias("_block"))
-
-
-def _same_block() -> Column:
-    return F.coalesce("period", F.lit("")) == F.col("_block")
-
-
-def fetch_named_blocks(sales: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Rows whose block is in ``blocks``: for lists too long to be literals."""
-    return sales.join(_block_key(blocks), _same_block(), "left_semi")
-
-
 def listed_blocks(blocks: DataFrame) -> list[str] | None:
     """The periods in ``blocks`` as a list, or None when there are too many for that."""
     rows = blocks.select("period").limit(LISTED_BLOCKS + 1).collect()
     return [row.period for row in rows] if len(rows) <= LISTED_BLOCKS else None
 
 
-def fetch_chosen_blocks(sales: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Rows whose block is in ``blocks``: as literals, which prune the scan, when there
-    are at most ``LISTED_BLOCKS`` of them, and by a semi join beyond that.
+def mark_named_blocks(sales: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows with ``_named``, true or NULL: whether their block is in ``blocks``.
+
+    For lists too long to be literals. An outer join rather than a semi or anti join,
+    as Spark pushes those below unions, where a branch with a constant period would
+    leave no key to join on.
     """
-    listed = listed_blocks(blocks)
-    return fetch_named_blocks(sales, blocks) if listed is None else fetch_blocks(sales, listed)
+    named = blocks.select(
+        F.coalesce("period", F.lit("")).alias("_block"), F.lit(True).alias("_named")
+    ).distinct()
+    same = F.coalesce("period", F.lit("")) == F.col("_block")
+    return sales.join(named, same, "left").drop("_block")
+
+
+def fetch_named_blocks(sales: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows whose block is in ``blocks``."""
+    return mark_named_blocks(sales, blocks).filter("_named").drop("_named")
 
 
 def keep_other_blocks(sales: DataFrame, blocks: DataFrame) -> DataFrame:
     """Rows whose block is not in ``blocks``."""
-    return sales.join(_block_key(blocks), _same_block(), "left_anti")
+    return mark_named_blocks(sales, blocks).filter("_named IS NULL").drop("_named")
+
+
+def fetch_chosen_blocks(sales: DataFrame, blocks: DataFrame) -> DataFrame | None:
+    """Rows whose block is in ``blocks``, or None when that names no block.
+
+    Up to ``LISTED_BLOCKS`` periods become literals, which prune the scan; a longer
+    list stays distributed and becomes a join.
+    """
+    listed = listed_blocks(blocks)
+    if listed is None:
+        return fetch_named_blocks(sales, blocks)
+    return fetch_blocks(sales, listed) if listed else None
 
 
 def insert_block(sales: DataFrame, rows: DataFrame) -> DataFrame:
@@ -93,9 +103,14 @@ def insert_block(sales: DataFrame, rows: DataFrame) -> DataFrame:
     return sales.unionByName(rows)
 
 
+def delete_blocks(sales: DataFrame, periods: Iterable[str]) -> DataFrame:
+    """All rows outside the listed blocks; an absent period removes nothing."""
+    return sales.filter(~F.coalesce(in_blocks(periods), F.lit(False)))
+
+
 def delete_block(sales: DataFrame, period: str) -> DataFrame:
-    """All rows outside one block; an absent period removes nothing."""
-    return sales.filter(~F.coalesce(in_blocks([period]), F.lit(False)))
+    """All rows outside one block."""
+    return delete_blocks(sales, [period])
 
 
 def replace_block(sales: DataFrame, period: str, rows: DataFrame) -> DataFrame:
@@ -105,4 +120,8 @@ def replace_block(sales: DataFrame, period: str, rows: DataFrame) -> DataFrame:
 
 def merge_blocks(source: DataFrame, target: DataFrame, changed: DataFrame) -> DataFrame:
     """What the target holds after a sync, without writing it."""
-    return keep_other_blocks(target, changed).unionByName(fetch_named_blocks(source, changed))
+    listed = listed_blocks(changed)
+    if listed is None:
+        kept = keep_other_blocks(target, changed)
+        return insert_block(kept, fetch_named_blocks(source, changed))
+    return insert_block(delete_blocks(target, listed), fetch_blocks(source, listed))

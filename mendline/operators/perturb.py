@@ -59,18 +59,28 @@ def _last_hit(block: DataFrame, divisor: int) -> DataFrame:
 
 
 def perturb_block(
-    sales: DataFrame, period: str, divisor: int = 5, seed: int = 7, key: str = "sale_id"
+    sales: DataFrame,
+    period: str,
+    divisor: int = 5,
+    seed: int = 7,
+    key: str = "sale_id",
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Scale the amounts of ``max(1, rows / divisor)`` rows of one block.
 
     The rows are chosen without replacement by a seeded order over ``key``, which
     must be unique within the block. All other rows, and a table without the
-    block, come back unchanged.
+    block, come back unchanged. The choice needs only keys and periods; ``keys`` gives
+    them where that is cheaper than from ``sales``.
     """
     if not 3 <= divisor <= 9:
         raise ValueError("divisor must be between 3 and 9")
     mark = seeded_mark(seed, [key])
-    block = sales.filter(in_blocks([period])).select(mark.alias("mark"), F.col(key).alias("key"))
+    block = (
+        (sales if keys is None else keys)
+        .filter(in_blocks([period]))
+        .select(mark.alias("mark"), F.col(key).alias("key"))
+    )
     last = _last_hit(block, divisor).scalar()
     here = F.struct(mark.alias("mark"), F.col(key).alias("key"))
     # ``last`` is NULL for an absent block, and NULL is not a hit.

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .blocks import in_blocks
+
 RECORD = ("customer", "product", "amount", "period")
 
 
@@ -15,13 +17,26 @@ def seeded_mark(seed: int, key: Sequence[str]) -> Column:
 
 
 def sample_rows(
-    sales: DataFrame, count: int = 10, seed: int = 7, key: Sequence[str] = ("sale_id",)
+    sales: DataFrame,
+    count: int = 10,
+    seed: int = 7,
+    key: Sequence[str] = ("sale_id",),
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Up to ``count`` whole rows without replacement, the same for any partitioning.
 
-    A top-k: every task keeps at most ``count`` rows, and nothing is sorted globally.
+    Two top-k passes, in which every task keeps at most ``count`` rows. The first reads
+    only keys and periods (from ``keys`` where that is cheaper to compute); the second
+    reads whole rows, but only where the at most ``count`` chosen keys can be.
     """
-    return sales.orderBy(seeded_mark(seed, key), *key).limit(count)
+    narrow = sales if keys is None else keys
+    by_mark = (seeded_mark(seed, key), *key)
+    chosen = narrow.select(F.coalesce("period", F.lit("")).alias("block"), *key)
+    chosen = chosen.orderBy(*by_mark).limit(count).collect()
+    near = in_blocks({row.block for row in chosen})
+    for name in key:
+        near = near & F.col(name).isin({row[name] for row in chosen})
+    return sales.filter(near).orderBy(*by_mark).limit(count)
 
 
 def as_records(sales: DataFrame) -> DataFrame:
@@ -29,8 +44,6 @@ def as_records(sales: DataFrame) -> DataFrame:
     return sales.select(F.col("sale_id").cast("string").alias("sale_id"), "sale_ts", *RECORD)
 
 
-def sample_records(
-    sales: DataFrame, count: int = 10, seed: int = 7, key: Sequence[str] = ("sale_id",)
-) -> DataFrame:
-    """Up to ``count`` sample records."""
-    return as_records(sample_rows(sales, count, seed, key))
+def sample_records(sales: DataFrame, count: int = 10, **options) -> DataFrame:
+    """Up to ``count`` sample records; options as for ``sample_rows``."""
+    return as_records(sample_rows(sales, count, **options))

@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import AMOUNT, AMOUNT_SUM
 
 ROW_ORDER = ("sale_ts", "sale_id", "line_no")
+PROFILED = ("period", "amount", "sale_ts")
+COUNTED = ("customer", "product")
+
+# A sales table, or a function that gives the named columns of one. The latter lets a
+# view over joins leave out the joins that the columns do not need.
+Sales = DataFrame | Callable[..., DataFrame]
+
 
+def narrow(sales: Sales, *columns: str) -> DataFrame:
+    """The named columns of a sales table."""
+    return sales.select(*columns) if isinstance(sales, DataFrame) else sales(*columns)
 
-def block_profile(sales: DataFrame) -> DataFrame:
+
+def block_profile(sales: Sales) -> DataFrame:
     """Count, amounts and dates per block.
 
     All buffers are of fixed width, so the aggregation stays in hash form; whole-table
     figures are rolled up from these few rows.
     """
-    return sales.groupBy(F.coalesce("period", F.lit("")).alias("period")).agg(
+    rows = narrow(sales, *PROFILED)
+    return rows.groupBy(F.coalesce("period", F.lit("")).alias("period")).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.coalesce(F.sum("amount"), F.lit(0)).cast(AMOUNT_SUM).alias("amount_sum"),
         F.min("amount").alias("amount_min"),
@@ -29,14 +43,14 @@ def _or_zero(value: Column, kind) -> Column:
     return F.coalesce(value, F.lit(0)).cast(kind)
 
 
-def first_last(sales: DataFrame) -> DataFrame:
+def first_last(sales: Sales) -> DataFrame:
     """Ids of the first and the last row by (time, id, line); empty texts for no rows.
 
     There is no grouping key, so the struct buffers cost neither a sort nor a
     shuffle of rows.
     """
     order = F.struct(*ROW_ORDER)
-    ends = sales.agg(F.min(order).alias("first"), F.max(order).alias("last"))
+    ends = narrow(sales, *ROW_ORDER).agg(F.min(order).alias("first"), F.max(order).alias("last"))
     return ends.select(
         *(
             F.coalesce(F.col(f"{end}.sale_id").cast("string"), F.lit("")).alias(f"{end}_id")
@@ -45,17 +59,14 @@ def first_last(sales: DataFrame) -> DataFrame:
     )
 
 
-def distinct_counts(sales: DataFrame, approximate: bool = False) -> DataFrame:
+def distinct_counts(sales: Sales, approximate: bool = False) -> DataFrame:
     """Distinct customers and products; exact unless asked otherwise."""
     count = F.approx_count_distinct if approximate else F.count_distinct
-    return sales.agg(
-        count("customer").alias("distinct_customers"),
-        count("product").alias("distinct_products"),
-    )
+    return narrow(sales, *COUNTED).agg(*(count(c).alias(f"distinct_{c}s") for c in COUNTED))
 
 
 def statistics(
-    sales: DataFrame, approximate: bool = False, profile: DataFrame | None = None
+    sales: Sales, approximate: bool = False, profile: DataFrame | None = None
 ) -> DataFrame:
     """One row of statistics; zeros, empty ids and NULL dates for an empty table.
 
@@ -65,8 +76,6 @@ def statistics(
     """
     ends = first_last(sales)
     distinct = distinct_counts(sales, approximate)
-    ends_row = ends.select(F.struct(*ends.columns)).scalar()
-    distinct_row = distinct.select(F.struct(*distinct.columns)).scalar()
     rows = _or_zero(F.sum("row_count"), "bigint")
     amount = _or_zero(F.sum("amount_sum"), AMOUNT_SUM)
     totals = (profile or block_profile(sales)).agg(
@@ -80,10 +89,10 @@ def statistics(
         F.max("last_date").alias("last_date"),
     )
     return totals.select(
-        *totals.columns,
-        *(ends_row.getField(name).alias(name) for name in ends.columns),
-        *(distinct_row.getField(name).alias(name) for name in distinct.columns),
-    )
+        "*",
+        ends.select(F.struct("*")).scalar().alias("ends"),
+        distinct.select(F.struct("*")).scalar().alias("distinct"),
+    ).select(*totals.columns, "ends.*", "distinct.*")
 
 
 def top_blocks(headers: DataFrame, count: int = 10) -> DataFrame:

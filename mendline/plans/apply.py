@@ -68,7 +68,7 @@ def apply_plan(
     The plan reads the target that is about to change, so it is written to a scratch
     table first. The changed blocks are then read in one scan and swapped in by one
     partition overwrite: all or nothing, and repeatable. Up to ``LISTED_BLOCKS`` of
-    them are literals and prune the scan; a longer list is a semi join.
+    them are literals and prune the scan; a longer list is a join.
 
     With ``isolate`` a block that cannot be copied is reported as failed and the
     others are still copied.
@@ -81,6 +81,7 @@ def apply_plan(
         for some in batched(periods, LISTED_BLOCKS):
             failures.extend(_copy_isolated(source, target, list(some), layout))
         return _with_failures(results, failures) if failures else results
-    if not changed.isEmpty():
-        target.replace(fetch_chosen_blocks(source, changed), layout)
+    rows = fetch_chosen_blocks(source, changed)
+    if rows is not None:
+        target.replace(rows, layout)
     return results

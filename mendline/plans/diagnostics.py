@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.texts import summary_sentence
 from ..operators.headers import block_headers, with_block_hash
 from ..operators.sample import sample_records
-from ..operators.stats import block_profile, statistics, top_blocks
+from ..operators.stats import Sales, block_profile, statistics, top_blocks
 from ..scratch import materialise
 
 
-def side_statistics(source: DataFrame, target: DataFrame, approximate: bool = False) -> DataFrame:
+def side_statistics(source: Sales, target: Sales, approximate: bool = False) -> DataFrame:
     """Statistics of both sides, one row each."""
 
-    def side(name: str, sales: DataFrame) -> DataFrame:
+    def side(name: str, sales: Sales) -> DataFrame:
         stats = statistics(sales, approximate)
         return stats.select(F.lit(name).alias("side"), *stats.columns)
 
@@ -76,7 +76,7 @@ def diagnostics(
 
     source_stats, source_top = side("source", source)
     target_stats, target_top = side("target", target)
-    records = sample_records(source, sample, seed, key)
+    records = sample_records(source, sample, seed=seed, key=key)
     return source_stats.select("source", target_stats.scalar().alias("target")).select(
         "source",
         "target",

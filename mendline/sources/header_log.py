@@ -84,8 +84,8 @@ class HeaderLog:
         fresh = looked_up.filter(F.col("row_count").isNotNull())
         stale = looked_up.filter(F.col("row_count").isNull()).select("period")
         totals = fresh.select("period", "row_count", "amount_sum")
-        if not stale.isEmpty():
-            rows = fetch_chosen_blocks(table.read(), stale)
+        rows = fetch_chosen_blocks(table.read(), stale)
+        if rows is not None:
             computed = materialise(block_totals(rows), "header-log")
             self._remember(computed, looked_up, file_marks(table))
             totals = totals.unionByName(computed)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -78,7 +79,9 @@ def fetch_target_block(spark, sf_dir):
 @query
 def fetch_changed_blocks(spark, sf_dir):
     changed = plan.changed_blocks(plan.sync_plan(*_headers(spark, sf_dir)))
-    return blocks.fetch_chosen_blocks(retail.source_sales(spark, sf_dir), changed)
+    source = retail.source_sales(spark, sf_dir)
+    rows = blocks.fetch_chosen_blocks(source, changed)
+    return source.filter(F.lit(False)) if rows is None else rows
 
 
 @query
@@ -274,17 +277,23 @@ def comparison_json(spark, sf_dir):
 
 @query
 def stats_source(spark, sf_dir):
-    return stats.statistics(retail.source_sales(spark, sf_dir))
+    return stats.statistics(partial(retail.source_sales, spark, sf_dir))
 
 
 @query
 def stats_target(spark, sf_dir):
-    return stats.statistics(retail.target_sales(spark, sf_dir))
+    return stats.statistics(partial(retail.target_sales, spark, sf_dir))
 
 
 @query
 def stats_first_last(spark, sf_dir):
-    return stats.first_last(retail.source_sales(spark, sf_dir, *stats.ROW_ORDER))
+    return stats.first_last(partial(retail.source_sales, spark, sf_dir))
+
+
+def _both_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnosis.side_statistics(
+        partial(retail.source_sales, spark, sf_dir), partial(retail.target_sales, spark, sf_dir)
+    )
 
 
 @query
@@ -295,8 +304,7 @@ def stats_empty(spark, sf_dir):
 
 @query
 def stats_summary(spark, sf_dir):
-    sides = diagnosis.side_statistics(retail.source_sales(spark, sf_dir), retail.target_sales(spark, sf_dir))
-    return diagnosis.summary(sides)
+    return diagnosis.summary(_both_statistics(spark, sf_dir))
 
 
 @query
@@ -313,12 +321,13 @@ def top_periods(spark, sf_dir):
 
 @query
 def diagnostics(spark, sf_dir):
-    return diagnosis.side_statistics(retail.source_sales(spark, sf_dir), retail.target_sales(spark, sf_dir))
+    return _both_statistics(spark, sf_dir)
 
 
 @query
 def sample_records(spark, sf_dir):
-    return sample.sample_records(retail.order_sales(spark, sf_dir))
+    keys = retail.order_sales(spark, sf_dir, "sale_id", "period")
+    return sample.sample_records(retail.order_sales(spark, sf_dir), keys=keys)
 
 
 # Perturbation and generated sales.

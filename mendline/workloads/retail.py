@@ -107,7 +107,8 @@ def perturbed_sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFram
     wanted = columns or tuple(SALES.names)
     needed = dict.fromkeys((*wanted, "sale_id", "amount", "period"))
     sales = order_sales(spark, sf_dir, *needed)
-    return perturb_block(sales, PERTURBED_PERIOD).select(*wanted)
+    keys = order_sales(spark, sf_dir, "sale_id", "period")
+    return perturb_block(sales, PERTURBED_PERIOD, keys=keys).select(*wanted)
 
 
 def period_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,87 @@
+"""Perturbation, sampling and generated sales against plain Python."""
+
+from __future__ import annotations
+
+import hashlib
+from datetime import datetime
+from decimal import Decimal
+
+import pytest
+
+from mendline.operators import perturb
+from mendline.operators.headers import block_headers
+from mendline.operators.perturb import perturb_block
+from mendline.operators.sample import sample_records, sample_rows
+from mendline.plans.plan import sync_plan
+from mendline.sources.synthetic import sales_from_ids, synthetic_sales, write_synthetic
+from conftest import rows_of
+
+END = datetime(2025, 1, 1)
+
+
+def mark(seed, key):
+    return hashlib.md5(f"{seed}|{key}".encode()).hexdigest()
+
+
+@pytest.mark.parametrize("digits", [1, 4])
+@pytest.mark.parametrize("size,divisor,seed", [(1, 3, 7), (2, 9, 7), (37, 3, 1), (200, 5, 7), (200, 9, 2)])
+def test_perturbed_rows(sales, monkeypatch, digits, size, divisor, seed):
+    monkeypatch.setattr(perturb, "SLOT_DIGITS", digits)
+    rows = sales(*((i, "2023-03", 100 + i) for i in range(size)), (9_999, "2023-04", 5))
+    got = perturb_block(rows.repartition(5), "2023-03", divisor, seed)
+    hits = sorted(range(size), key=lambda i: mark(seed, i))[: max(1, size // divisor)]
+    for row in got.collect():
+        expected = Decimal(100 + row.sale_id) if row.sale_id != 9_999 else Decimal(5)
+        if row.sale_id in hits:
+            factor = Decimal("0.5") + Decimal(int(mark(seed, row.sale_id)[24:], 16) % 1000) / 1000
+            expected = (expected * factor).quantize(Decimal("0.01"), "ROUND_HALF_UP")
+        assert row.amount == expected
+
+
+def test_perturbing_one_block_repairs_one_block(sales):
+    rows = sales(*((i, f"2023-0{i % 4 + 1}", 10 * i) for i in range(80)))
+    plan = sync_plan(block_headers(rows), block_headers(perturb_block(rows, "2023-02")))
+    assert [r.period for r in plan.collect() if r.action == "REPAIR"] == ["2023-02"]
+
+
+def test_absent_block_and_bad_divisor(sales):
+    rows = sales((1, "2023-01", 1), (2, None, 2))
+    assert rows_of(perturb_block(rows, "2023-09")) == rows_of(rows)
+    for divisor in (2, 10):
+        with pytest.raises(ValueError):
+            perturb_block(rows, "2023-01", divisor)
+
+
+def test_sample(sales):
+    rows = sales(*((i, f"2023-0{i % 9 + 1}", i) for i in range(300)), (300, None, 1))
+    for seed in (7, 8):
+        expected = sorted(range(301), key=lambda i: mark(seed, i))[:10]
+        got = [int(r.sale_id) for r in sample_records(rows.repartition(6), seed=seed).collect()]
+        assert got == expected
+    everything = sample_rows(rows, count=1_000)
+    assert everything.count() == 301
+    assert sample_records(sales()).count() == 0
+    two = sample_rows(rows, 5, key=("sale_id", "line_no"))
+    assert len({r.sale_id for r in two.collect()}) == 5
+
+
+def test_generated_sales_do_not_depend_on_partitions(spark):
+    ids = spark.range(500)
+    one = sales_from_ids(ids.coalesce(1), END)
+    many = sales_from_ids(ids.repartition(9), END)
+    assert rows_of(one) == rows_of(many)
+    assert rows_of(one) != rows_of(sales_from_ids(ids, END, seed=1))
+
+
+def test_generated_sales_at_full_size(spark, tmp_path):
+    made = write_synthetic(spark, str(tmp_path / "generated"), END)
+    row = made.read().selectExpr(
+        "count(*) AS n", "count(DISTINCT sale_id) AS ids", "min(amount) AS low",
+        "max(amount) AS high", "min(sale_ts) AS first", "max(sale_ts) AS last",
+        "count_if(period <> date_format(sale_ts, 'yyyy-MM')) AS wrong",
+    ).first()
+    assert (row.n, row.ids, row.wrong) == (1_000_000, 1_000_000, 0)
+    assert Decimal(10) <= row.low and row.high <= Decimal(5000)
+    assert datetime(2022, 1, 1) <= row.first and row.last < END
+    assert made.headers().count() == 36
+    assert synthetic_sales(spark, END, rows=10).count() == 10
