@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import batched
+from itertools import islice
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -78,8 +78,8 @@ def apply_plan(
     if isolate:
         failures: list[tuple[str, str]] = []
         periods = (row.period for row in changed.toLocalIterator())
-        for some in batched(periods, LISTED_BLOCKS):
-            failures.extend(_copy_isolated(source, target, list(some), layout))
+        while some := list(islice(periods, LISTED_BLOCKS)):
+            failures.extend(_copy_isolated(source, target, some, layout))
         return _with_failures(results, failures) if failures else results
     rows = fetch_chosen_blocks(source, changed)
     if rows is not None:

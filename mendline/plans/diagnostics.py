@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.texts import summary_sentence
-from ..operators.headers import block_headers, with_block_hash
+from ..operators.headers import with_block_hash
 from ..operators.sample import sample_records
 from ..operators.stats import Sales, block_profile, statistics, top_blocks
 from ..scratch import materialise
@@ -40,14 +40,15 @@ def summary(sides: DataFrame) -> DataFrame:
     )
 
 
-def side_top_blocks(source: DataFrame, target: DataFrame, count: int = 10) -> DataFrame:
-    """The largest blocks of both sides, with their rank."""
+def side_top_blocks(
+    source_headers: DataFrame, target_headers: DataFrame, count: int = 10
+) -> DataFrame:
+    """The largest blocks of both sides."""
 
-    def side(name: str, sales: DataFrame) -> DataFrame:
-        top = top_blocks(block_headers(sales), count)
-        return top.select(F.lit(name).alias("side"), "*")
+    def side(name: str, headers: DataFrame) -> DataFrame:
+        return top_blocks(headers, count).select(F.lit(name).alias("side"), "*")
 
-    return side("source", source).unionByName(side("target", target))
+    return side("source", source_headers).unionByName(side("target", target_headers))
 
 
 def diagnostics(

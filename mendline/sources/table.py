@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 from ..operators.blocks import fetch_blocks
 from ..operators.headers import block_headers
+from ..operators.stats import table_info
 from ..schema import SALES
 
 KEEP = "keep"
@@ -49,6 +50,10 @@ class BlockTable:
         """Block headers, from a scan of the amounts."""
         return block_headers(self.read(), digest)
 
+    def info(self) -> DataFrame:
+        """Rows, blocks and the sorted list of periods."""
+        return table_info(self.headers())
+
     def _writer(self, rows: DataFrame, layout: str):
         if layout not in (KEEP, REBALANCE):
             raise ValueError(f"layout must be {KEEP!r} or {REBALANCE!r}, not {layout!r}")

@@ -251,6 +251,23 @@ FROM results""",
         select="""
 SELECT period, printf('%s | %-6s | %5d rows', period, action, rows_processed) AS line
 FROM results ORDER BY period""",
+    ),
+    "sync_document": _with(
+        S, T, HS, HT, PLAN, RESULTS,
+        select="""
+SELECT count(*) AS total_blocks,
+       '{"total_blocks":' || count(*) || ',"skipped":' || count(*) FILTER (action = 'SKIP') ||
+       ',"inserted":' || count(*) FILTER (action = 'INSERT') ||
+       ',"repaired":' || count(*) FILTER (action = 'REPAIR') ||
+       ',"rows_processed":' || sum(rows_processed) || ',"rows_inserted":' || sum(rows_inserted) ||
+       ',"details":[' || string_agg(
+         '{"period":"' || period || '","action":"' || action ||
+         '","source_hash":"' || source_hash || '","target_hash_before":' ||
+         coalesce('"' || target_hash_before || '"', 'null') ||
+         ',"rows_processed":' || rows_processed || ',"rows_inserted":' || rows_inserted ||
+         ',"message":"' || message || '","failed":' || failed || '}', ',' ORDER BY period) ||
+       ']}' AS document
+FROM results""",
     ),
     "sync_apply": _with(S, T, HS, HT, PLAN, SYNCED, select=f"SELECT {COLUMNS} FROM synced"),
     "sync_merge": _with(S, T, HS, HT, PLAN, SYNCED, select=f"SELECT {COLUMNS} FROM synced"),
@@ -267,9 +284,9 @@ SELECT period, 'INSERT' AS action, block_hash AS source_hash,
     "failed_blocks": _with(
         S, T, HS, HT, PLAN, RESULTS,
         select="""
-SELECT period, action, period IN ('1998-04', '1998-07') AS failed,
-       CASE WHEN period IN ('1998-04', '1998-07') THEN 0 ELSE rows_processed END AS rows_processed,
-       CASE WHEN period IN ('1998-04', '1998-07') THEN 0 ELSE rows_inserted END AS rows_inserted
+SELECT period, action, period = '1998-07' AS failed,
+       CASE WHEN period = '1998-07' THEN 0 ELSE rows_processed END AS rows_processed,
+       CASE WHEN period = '1998-07' THEN 0 ELSE rows_inserted END AS rows_inserted
 FROM results""",
     ),
     "system_info": _with(
@@ -330,6 +347,13 @@ SELECT 'Source holds ' || format('{:,}', (SELECT count(*) FROM S)) || ' rows in
     "top_periods": _with(
         S, HS, select="SELECT * FROM HS ORDER BY row_count DESC, period LIMIT 10"
     ),
+    "top_periods_of_both": _with(
+        S, T, HS, HT,
+        select="""
+SELECT 'source' AS side, * FROM (SELECT * FROM HS ORDER BY row_count DESC, period LIMIT 10)
+UNION ALL
+SELECT 'target' AS side, * FROM (SELECT * FROM HT ORDER BY row_count DESC, period LIMIT 10)""",
+    ),
     "diagnostics": _with(
         S, T,
         "A AS (" + _statistics("S") + ")",

@@ -180,6 +180,12 @@ def report_lines(spark, sf_dir):
     return report.report_lines(plan.block_results(plan.sync_plan(*_headers(spark, sf_dir))))
 
 
+@query
+def sync_document(spark, sf_dir):
+    results = plan.block_results(plan.sync_plan(*_headers(spark, sf_dir)))
+    return report.as_json(report.sync_document(results), "total_blocks")
+
+
 # Writes: the target is stored, changed, and read back.
 
 
@@ -213,7 +219,7 @@ def reset_then_plan(spark, sf_dir):
 def failed_blocks(spark, sf_dir):
     target = written_target(spark, sf_dir)
     actions = plan.sync_plan(_source_headers(spark, sf_dir), target.headers())
-    broken = F.col("period").isin("1998-04", "1998-07")
+    broken = F.col("period").isin("1998-07")
     source = retail.source_sales(spark, sf_dir)
     failing = source.withColumn(
         "amount",
@@ -319,6 +325,11 @@ def top_periods(spark, sf_dir):
     return stats.top_blocks(_source_headers(spark, sf_dir))
 
 
+@query
+def top_periods_of_both(spark, sf_dir):
+    return diagnosis.side_top_blocks(*_headers(spark, sf_dir))
+
+
 @query
 def diagnostics(spark, sf_dir):
     return _both_statistics(spark, sf_dir)

@@ -9,8 +9,10 @@ left to Spark, which goes by the measured sizes and splits skewed keys.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.periods import period_of
 from ..operators.blocks import fetch_block
@@ -22,38 +24,52 @@ COPIED_PERIOD = "1995-01"
 PERTURBED_PERIOD = "1997-03"
 
 
+@cache
+def _schema(path: str) -> StructType:
+    """Schema of a given table; the tables never change, so its footer is read once."""
+    return SparkSession.active().read.parquet(path).schema
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
 
 
-def _text(name: str):
+def _text(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def _look_up(rows: DataFrame, table: DataFrame, left: str, right: str) -> DataFrame:
+    return rows.join(table, F.col(left) == F.col(right), "left").drop(right)
+
+
+def _sales(rows: DataFrame, values: dict[str, Column], wanted: tuple[str, ...]) -> DataFrame:
+    # Values are computed after the joins, so that only the stored columns are shuffled.
+    return rows.select(*(values[name].alias(name) for name in wanted))
+
+
 def source_sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """One sale per line item."""
     wanted = columns or tuple(SALES.names)
-    sales = read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("sale_id"),
-        F.col("l_linenumber").alias("line_no"),
-        F.col("l_shipdate").alias("sale_ts"),
-        F.col("l_partkey").alias("part_key"),
-        F.col("l_extendedprice").cast(AMOUNT).alias("amount"),
-        period_of(F.col("l_shipdate")).alias("period"),
-    )
+    rows = read(spark, sf_dir, "lineitem")
     if "customer" in wanted:
-        customers = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
         orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-        names = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left").select(
-            "o_orderkey", _text("c_name").alias("customer")
-        )
-        sales = sales.join(names, F.col("sale_id") == F.col("o_orderkey"), "left")
-        sales = sales.withColumn("customer", _text("customer"))
+        customers = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+        names = _look_up(orders, customers, "o_custkey", "c_custkey")
+        rows = _look_up(rows, names, "l_orderkey", "o_orderkey")
     if "product" in wanted:
-        parts = read(spark, sf_dir, "part").select("p_partkey", _text("p_name").alias("product"))
-        sales = sales.join(parts, F.col("part_key") == F.col("p_partkey"), "left")
-        sales = sales.withColumn("product", _text("product"))
-    return sales.select(*wanted)
+        parts = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+        rows = _look_up(rows, parts, "l_partkey", "p_partkey")
+    values = {
+        "sale_id": F.col("l_orderkey"),
+        "line_no": F.col("l_linenumber"),
+        "sale_ts": F.col("l_shipdate"),
+        "customer": _text("c_name"),
+        "product": _text("p_name"),
+        "amount": F.col("l_extendedprice").cast(AMOUNT),
+        "period": period_of(F.col("l_shipdate")),
+    }
+    return _sales(rows, values, wanted)
 
 
 def target_sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -84,22 +100,20 @@ def target_sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def order_sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """One sale per order, with a unique id."""
     wanted = columns or tuple(SALES.names)
-    sales = read(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("sale_id"),
-        F.lit(1).alias("line_no"),
-        F.col("o_orderdate").alias("sale_ts"),
-        F.col("o_custkey").alias("cust_key"),
-        _text("o_orderpriority").alias("product"),
-        F.col("o_totalprice").cast(AMOUNT).alias("amount"),
-        period_of(F.col("o_orderdate")).alias("period"),
-    )
+    rows = read(spark, sf_dir, "orders")
     if "customer" in wanted:
-        customers = read(spark, sf_dir, "customer").select(
-            "c_custkey", _text("c_name").alias("customer")
-        )
-        sales = sales.join(customers, F.col("cust_key") == F.col("c_custkey"), "left")
-        sales = sales.withColumn("customer", _text("customer"))
-    return sales.select(*wanted)
+        customers = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+        rows = _look_up(rows, customers, "o_custkey", "c_custkey")
+    values = {
+        "sale_id": F.col("o_orderkey"),
+        "line_no": F.lit(1),
+        "sale_ts": F.col("o_orderdate"),
+        "customer": _text("c_name"),
+        "product": _text("o_orderpriority"),
+        "amount": F.col("o_totalprice").cast(AMOUNT),
+        "period": period_of(F.col("o_orderdate")),
+    }
+    return _sales(rows, values, wanted)
 
 
 def perturbed_sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
