@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
-from conftest import SF_SMALL
+from conftest import SF_SMALL, plan_text
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -39,6 +39,8 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, SF_SMALL)
+    for word in ("Python", "Pandas", "CartesianProduct", "NestedLoop"):
+        assert word not in plan_text(df)
     result = duck.execute(ORACLE[name])
     theirs = {column[0]: str(column[1]) for column in result.description}
     rows = result.fetchall()
