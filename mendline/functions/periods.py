@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, functions as F
 
 FIRST_YEAR = 2020
@@ -17,6 +19,11 @@ def period_name(year: int, month: int) -> str:
     return f"{year:04d}-{month:02d}"
 
 
+def instant(moment: datetime) -> Column:
+    """A fixed time without zone; given as text, as a plain literal would pass through one."""
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def period_from_parts(year: Column, month: Column) -> Column:
     """``yyyy-MM`` of a year and a month column."""
     return F.format_string("%04d-%02d", year, month)

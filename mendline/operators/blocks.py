@@ -8,10 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import datetime
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.periods import instant
+
 LISTED_BLOCKS = 10_000
+MOST_RANGES = 64
 
 
 def in_blocks(periods: Iterable[str]) -> Column:
@@ -35,25 +40,39 @@ def month_range(period: str) -> tuple[datetime, datetime]:
     return first, after
 
 
-def fetch_block(sales: DataFrame, period: str, derived: bool = False) -> DataFrame:
-    """Rows of one block; an unknown period gives no rows.
+def month_ranges(periods: Iterable[str]) -> list[tuple[datetime, datetime]]:
+    """The months as time ranges, adjoining ones joined; very many become one hull."""
+    ranges: list[tuple[datetime, datetime]] = []
+    for first, after in sorted(month_range(p) for p in set(periods)):
+        if ranges and ranges[-1][1] == first:
+            ranges[-1] = (ranges[-1][0], after)
+        else:
+            ranges.append((first, after))
+    return ranges if len(ranges) <= MOST_RANGES else [(ranges[0][0], ranges[-1][1])]
+
+
+def in_months(periods: Iterable[str]) -> Column:
+    """Membership of ``sale_ts`` in one of the months, in a form that sources can filter by."""
+    ts = F.col("sale_ts")
+    spans = [(ts >= instant(a)) & (ts < instant(b)) for a, b in month_ranges(periods)]
+    return reduce(or_, spans)
 
-    ``derived`` states that ``period`` is computed from ``sale_ts``. The month is
-    then also sent to the scan as a time range, which file statistics can answer.
+
+def fetch_blocks(sales: DataFrame, periods: Iterable[str], derived: bool = False) -> DataFrame:
+    """Rows of the listed blocks, in one scan; unknown periods give no rows.
+
+    ``derived`` states that ``period`` is the month of ``sale_ts``. The months then
+    also go to the scan as time ranges, which file statistics or a remote database
+    can answer.
     """
-    rows = sales.filter(in_blocks([period]))
-    if derived:
-        first, after = month_range(period)
-        rows = rows.filter(
-            (F.col("sale_ts") >= F.lit(first).cast("timestamp_ntz"))
-            & (F.col("sale_ts") < F.lit(after).cast("timestamp_ntz"))
-        )
-    return rows
+    listed = list(periods)
+    rows = sales.filter(in_blocks(listed))
+    return rows.filter(in_months(listed)) if derived and all(listed) and listed else rows
 
 
-def fetch_blocks(sales: DataFrame, periods: Iterable[str]) -> DataFrame:
-    """Rows of the listed blocks, in one scan."""
-    return sales.filter(in_blocks(periods))
+def fetch_block(sales: DataFrame, period: str, derived: bool = False) -> DataFrame:
+    """Rows of one block; an unknown period gives no rows."""
+    return fetch_blocks(sales, [period], derived)
 
 
 def listed_blocks(blocks: DataFrame) -> list[str] | None:
@@ -86,7 +105,9 @@ def keep_other_blocks(sales: DataFrame, blocks: DataFrame) -> DataFrame:
     return mark_named_blocks(sales, blocks).filter("_named IS NULL").drop("_named")
 
 
-def fetch_chosen_blocks(sales: DataFrame, blocks: DataFrame) -> DataFrame | None:
+def fetch_chosen_blocks(
+    sales: DataFrame, blocks: DataFrame, derived: bool = False
+) -> DataFrame | None:
     """Rows whose block is in ``blocks``, or None when that names no block.
 
     Up to ``LISTED_BLOCKS`` periods become literals, which prune the scan; a longer
@@ -95,7 +116,7 @@ def fetch_chosen_blocks(sales: DataFrame, blocks: DataFrame) -> DataFrame | None
     listed = listed_blocks(blocks)
     if listed is None:
         return fetch_named_blocks(sales, blocks)
-    return fetch_blocks(sales, listed) if listed else None
+    return fetch_blocks(sales, listed, derived) if listed else None
 
 
 def insert_block(sales: DataFrame, rows: DataFrame) -> DataFrame:

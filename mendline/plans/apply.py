@@ -20,7 +20,7 @@ def _first_line(error: Exception) -> str:
 
 
 def _copy_isolated(
-    source: DataFrame, target: BlockTable, periods: list[str], layout: str
+    source: DataFrame, target: BlockTable, periods: list[str], layout: str, derived: bool
 ) -> Iterator[tuple[str, str]]:
     """Copy the blocks in one job; if it fails, copy each half on its own.
 
@@ -29,7 +29,7 @@ def _copy_isolated(
     job per block. Yields the blocks that fail alone, with the error.
     """
     try:
-        target.replace(fetch_blocks(source, periods), layout)
+        target.replace(fetch_blocks(source, periods, derived), layout)
     except Exception as error:
         if source.sparkSession.sparkContext._jsc.sc().isStopped():
             raise
@@ -37,8 +37,8 @@ def _copy_isolated(
             yield periods[0], _first_line(error)
             return
         half = len(periods) // 2
-        yield from _copy_isolated(source, target, periods[:half], layout)
-        yield from _copy_isolated(source, target, periods[half:], layout)
+        yield from _copy_isolated(source, target, periods[:half], layout, derived)
+        yield from _copy_isolated(source, target, periods[half:], layout, derived)
 
 
 def _with_failures(results: DataFrame, failures: list[tuple[str, str]]) -> DataFrame:
@@ -62,6 +62,7 @@ def apply_plan(
     target: BlockTable,
     layout: str = REBALANCE,
     isolate: bool = False,
+    derived: bool = False,
 ) -> DataFrame:
     """Copy every INSERT and REPAIR block from ``source`` and return the block results.
 
@@ -71,7 +72,7 @@ def apply_plan(
     them are literals and prune the scan; a longer list is a join.
 
     With ``isolate`` a block that cannot be copied is reported as failed and the
-    others are still copied.
+    others are still copied. ``derived`` is as for ``fetch_blocks``.
     """
     results = materialise(block_results(plan), "plan")
     changed = changed_blocks(results)
@@ -79,9 +80,9 @@ def apply_plan(
         failures: list[tuple[str, str]] = []
         periods = (row.period for row in changed.toLocalIterator())
         while some := list(islice(periods, LISTED_BLOCKS)):
-            failures.extend(_copy_isolated(source, target, some, layout))
+            failures.extend(_copy_isolated(source, target, some, layout, derived))
         return _with_failures(results, failures) if failures else results
-    rows = fetch_chosen_blocks(source, changed)
+    rows = fetch_chosen_blocks(source, changed, derived)
     if rows is not None:
         target.replace(rows, layout)
     return results

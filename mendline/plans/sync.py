@@ -18,7 +18,9 @@ class TableSync:
     The source is a table of blocks or any DataFrame with the sales columns. With a
     ``header_log``, headers of tables are taken from it wherever a block's files are
     unchanged, so a run without changes reads no rows; without one they are
-    always computed from the rows.
+    always computed from the rows. ``derived`` states that the source's period is the
+    month of its ``sale_ts``, so that a source which is not partitioned by period can
+    find changed blocks by time.
     """
 
     def __init__(
@@ -27,11 +29,13 @@ class TableSync:
         target: BlockTable,
         digest: str = "md5",
         header_log: HeaderLog | None = None,
+        derived: bool = False,
     ):
         self.source = source
         self.target = target
         self.digest = digest
         self.header_log = header_log
+        self.derived = derived
 
     def source_rows(self) -> DataFrame:
         return self.source.read() if isinstance(self.source, BlockTable) else self.source
@@ -60,7 +64,9 @@ class TableSync:
         laid out there, without a shuffle.
         """
         layout = KEEP if isinstance(self.source, BlockTable) else REBALANCE
-        return apply.apply_plan(self.plan(), self.source_rows(), self.target, layout, isolate)
+        return apply.apply_plan(
+            self.plan(), self.source_rows(), self.target, layout, isolate, self.derived
+        )
 
     def report(self, results: DataFrame) -> DataFrame:
         """Counters over the block results."""

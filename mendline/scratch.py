@@ -29,14 +29,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a scratch table and read it back.
+def materialise(df: DataFrame, label: str, spark: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` as a scratch table and read it back, in another session if one is given.
 
     This cuts the lineage, survives the loss of executors, and gives later joins the
     true size of the data, so that Spark broadcasts it only when it is small. Adaptive
     execution chooses the number of files: one for a usual plan, more for a long one.
     """
-    spark = df.sparkSession
+    spark = spark or df.sparkSession
     path = scratch_path(spark, label)
     df.hint("rebalance").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

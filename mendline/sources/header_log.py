@@ -10,6 +10,8 @@ from ..schema import AMOUNT_SUM
 from ..scratch import materialise
 from .table import BlockTable
 
+FILES_PER_TASK = "64g"  # by their lengths; the tasks number at least the cores
+
 _LISTING = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -34,19 +36,23 @@ def file_marks(table: BlockTable) -> DataFrame:
     """``(period, files_mark)``: names, lengths and times of each block's files, digested.
 
     No file content is read. The sum of per-file hashes does not depend on the order
-    of the listing, so it combines before the shuffle.
+    of the listing, so it combines before the shuffle. Spark would give every large
+    file a task of its own; the listing has its own session, in which tasks take
+    many files each.
     """
     spark = table.spark
     if not table.exists():
         return spark.createDataFrame([], "period string, files_mark string")
+    lister = spark.newSession()
+    lister.conf.set("spark.sql.files.maxPartitionBytes", FILES_PER_TASK)
     files = (
-        spark.read.format("binaryFile")
+        lister.read.format("binaryFile")
         .schema(_LISTING)
         .option("pathGlobFilter", "*.parquet")
         .load(table.path)
     )
     mark = F.xxhash64("path", "length", F.unix_micros("modificationTime"))
-    return (
+    marks = (
         files.groupBy(F.coalesce("period", F.lit("")).alias("period"))
         .agg(
             F.count(F.lit(1)).alias("files"),
@@ -55,6 +61,7 @@ def file_marks(table: BlockTable) -> DataFrame:
         )
         .select("period", F.concat_ws("|", "files", "bytes", "marks").alias("files_mark"))
     )
+    return materialise(marks, "file-marks", spark)
 
 
 class HeaderLog:

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.periods import period_of
+from ..functions.periods import instant, period_of
 from ..schema import AMOUNT, SALES
 from .table import BlockTable
 
@@ -51,10 +51,7 @@ def sales_from_ids(
     return drawn.select(
         "sale_id",
         F.lit(1).alias("line_no"),
-        (
-            F.lit(start).cast("timestamp_ntz")
-            + F.make_dt_interval(secs=after.cast("decimal(18,6)"))
-        ).alias("sale_ts"),
+        (instant(start) + F.make_dt_interval(secs=after.cast("decimal(18,6)"))).alias("sale_ts"),
         numbered("Customer", 2, customers).alias("customer"),
         numbered("Product", 3, products).alias("product"),
         (cents.cast("decimal(18,0)") * F.lit(0.01).cast("decimal(2,2)")).cast(AMOUNT).alias("amount"),

@@ -49,7 +49,7 @@ def written_target(spark: SparkSession, sf_dir: str) -> BlockTable:
 def _synced_target(spark: SparkSession, sf_dir: str) -> BlockTable:
     target = written_target(spark, sf_dir)
     actions = plan.sync_plan(_source_headers(spark, sf_dir), target.headers())
-    apply.apply_plan(actions, retail.source_sales(spark, sf_dir), target)
+    apply.apply_plan(actions, retail.source_sales(spark, sf_dir), target, derived=True)
     return target
 
 
@@ -80,7 +80,7 @@ def fetch_target_block(spark, sf_dir):
 def fetch_changed_blocks(spark, sf_dir):
     changed = plan.changed_blocks(plan.sync_plan(*_headers(spark, sf_dir)))
     source = retail.source_sales(spark, sf_dir)
-    rows = blocks.fetch_chosen_blocks(source, changed)
+    rows = blocks.fetch_chosen_blocks(source, changed, derived=True)
     return source.filter(F.lit(False)) if rows is None else rows
 
 
@@ -227,7 +227,7 @@ def failed_blocks(spark, sf_dir):
             F.col("amount")
         ),
     )
-    results = apply.apply_plan(actions, failing, target, isolate=True)
+    results = apply.apply_plan(actions, failing, target, isolate=True, derived=True)
     return results.select("period", "action", "failed", "rows_processed", "rows_inserted")
 
 

@@ -64,6 +64,12 @@ def test_a_month_reaches_the_scan_as_a_time_range(spark):
     assert "LessThan(l_shipdate,1997-04-01" in text
 
 
+def test_changed_months_reach_the_scan_as_time_ranges(spark):
+    text = plan_text(QUERIES["fetch_changed_blocks"](spark, SF_SMALL))
+    pushed = next(line for line in text.splitlines() if "l_shipdate" in line and "FileScan" in line)
+    assert "PushedFilters" in pushed and "Or(" in pushed.split("PushedFilters")[1]
+
+
 def test_perturbing_ranks_one_slot_not_the_block(stored):
     text = plan_text(perturb_block(stored.read(), "2022-05"))
     assert "CartesianProduct" not in text and "NestedLoop" not in text

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
-from conftest import SF_SMALL, plan_text
+from conftest import SF_SMALL, plan_text, rows_of
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -58,12 +58,15 @@ def test_expected_plan(spark):
     assert {r["action"]: r["count"] for r in counts} == {"SKIP": 62, "REPAIR": 14, "INSERT": 7}
 
 
-def test_period_does_not_depend_on_the_session_zone(spark):
+@pytest.mark.parametrize(
+    "name", ["headers_source", "headers_target", "fetch_source_block", "synthetic_sales"]
+)
+def test_results_do_not_depend_on_the_session_zone(spark, name):
     zone = spark.conf.get("spark.sql.session.timeZone")
-    expected = QUERIES["headers_source"](spark, SF_SMALL).collect()
+    expected = rows_of(QUERIES[name](spark, SF_SMALL))
     try:
         for other in ("America/Sao_Paulo", "Pacific/Apia"):
             spark.conf.set("spark.sql.session.timeZone", other)
-            assert sorted(QUERIES["headers_source"](spark, SF_SMALL).collect()) == sorted(expected)
+            assert rows_of(QUERIES[name](spark, SF_SMALL)) == expected
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)

@@ -150,6 +150,25 @@ def test_december_ends_in_the_next_year():
     assert (first.isoformat()[:10], after.isoformat()[:10]) == ("2023-12-01", "2024-01-01")
 
 
+def test_month_ranges_join_and_fold(monkeypatch):
+    def spans(*periods):
+        return [tuple(t.isoformat()[:7] for t in r) for r in blocks.month_ranges(periods)]
+
+    assert spans("2023-12", "2023-05", "2023-11", "2024-01", "2023-05") == [
+        ("2023-05", "2023-06"), ("2023-11", "2024-02"),
+    ]
+    monkeypatch.setattr(blocks, "MOST_RANGES", 1)
+    assert spans("2023-05", "2023-11") == [("2023-05", "2023-12")]
+
+
+def test_derived_periods_give_the_same_rows(sales):
+    rows = sales(*((i, "2023-01", i) for i in range(5)), (6, "2023-02", 6), (7, "", 7))
+    january = rows_of(blocks.fetch_blocks(rows, ["2023-01"]))
+    assert rows_of(blocks.fetch_blocks(rows, ["2023-01"], derived=True)) == january
+    assert blocks.fetch_blocks(rows, ["2023-01", ""], derived=True).count() == 6
+    assert blocks.fetch_blocks(rows, [], derived=True).count() == 0
+
+
 def test_long_lists_of_blocks_stay_distributed(sales, monkeypatch):
     rows = sales(*((i, f"2023-{i:02d}", i) for i in range(1, 10)), (10, None, 10))
     chosen = rows.filter("sale_id > 5").select("period")

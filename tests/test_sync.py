@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from mendline import BlockTable, HeaderLog, TableSync
+from mendline import BlockTable, HeaderLog, TableSync, sales_schema
 from mendline.plans.apply import apply_plan
 from mendline.plans.plan import sync_plan
+from mendline.sources.header_log import file_marks
 from mendline.sources.synthetic import synthetic_sales
 from mendline.sources.table import KEEP
 from conftest import files_of, rows_of
@@ -224,6 +228,38 @@ def test_header_log_does_not_read_unchanged_files(spark, table, tmp_path, genera
     assert rows_of(log.headers(made)) == expected
 
 
+def test_many_large_files_share_a_listing_task(spark, table, generated):
+    made = table(generated)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert made.read().rdd.getNumPartitions() >= 18
+        assert file_marks(made).count() == 18
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "1k"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_text_ids(spark, tmp_path):
+    """Ids may be texts, such as GUIDs."""
+    schema = sales_schema(StringType())
+    rows = spark.createDataFrame(
+        [(str(uuid.UUID(int=i)), 1, datetime(2023, 1 + i % 2, 2), "c", "p", Decimal(i), f"2023-0{1 + i % 2}")
+         for i in range(40)],
+        schema,
+    )
+    target = BlockTable(spark, str(tmp_path / "text-ids"), schema)
+    sync = TableSync(rows, target)
+    assert actions(sync.synchronize()) == {"INSERT"}
+    sync.perturb(2023, 1, current_year=2025)
+    assert [r.period for r in sync.synchronize().collect() if r.action == "REPAIR"] == ["2023-01"]
+    row = sync.diagnostics(sample=3).first()
+    assert row.source.first_id == str(uuid.UUID(int=0)) and len(row.sample) == 3
+    assert target.info().first().asDict() == {
+        "rows": 40, "blocks": 2, "periods": ["2023-01", "2023-02"],
+    }
+
+
 def test_keep_layout_writes_without_a_shuffle(spark, table, generated):
     source = table(generated)
     target = table()
