@@ -78,7 +78,8 @@ def statistics(
     distinct = distinct_counts(sales, approximate)
     rows = _or_zero(F.sum("row_count"), "bigint")
     amount = _or_zero(F.sum("amount_sum"), AMOUNT_SUM)
-    totals = (profile or block_profile(sales)).agg(
+    blocks = block_profile(sales) if profile is None else profile
+    totals = blocks.agg(
         rows.alias("total_rows"),
         F.count(F.lit(1)).alias("total_blocks"),
         amount.alias("amount_total"),
