@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.digest import block_hash
+from ..functions.periods import period_of
 from ..schema import AMOUNT_SUM
 
 
@@ -18,22 +19,37 @@ def with_block_hash(totals: DataFrame, digest: str = "md5") -> DataFrame:
     )
 
 
-def block_totals(sales: DataFrame) -> DataFrame:
+def by_block(sales: DataFrame, *figures: Column, derived: bool = False) -> DataFrame:
+    """Aggregate per block.
+
+    ``derived`` states that ``period`` is the month of ``sale_ts``. Rows are then grouped
+    by the first day of their month, and only the few groups are given their names.
+    """
+    if not derived:
+        return sales.groupBy(F.coalesce("period", F.lit("")).alias("period")).agg(*figures)
+    months = sales.groupBy(F.trunc("sale_ts", "month").alias("_month")).agg(*figures)
+    period = F.coalesce(period_of(F.col("_month")), F.lit("")).alias("period")
+    return months.select(period, "*").drop("_month")
+
+
+def block_totals(sales: DataFrame, derived: bool = False) -> DataFrame:
     """Row count and amount sum per block.
 
     Reads two columns. Count and decimal sum keep the aggregation in hash form and
     combine before the shuffle, so a block with most of the rows costs no more
     than one row per task.
     """
-    return sales.groupBy(F.coalesce("period", F.lit("")).alias("period")).agg(
+    return by_block(
+        sales,
         F.count(F.lit(1)).alias("row_count"),
         F.coalesce(F.sum("amount"), F.lit(0)).cast(AMOUNT_SUM).alias("amount_sum"),
+        derived=derived,
     )
 
 
-def block_headers(sales: DataFrame, digest: str = "md5") -> DataFrame:
+def block_headers(sales: DataFrame, digest: str = "md5", derived: bool = False) -> DataFrame:
     """``(period, row_count, amount_sum, block_hash)``, one row per block."""
-    return with_block_hash(block_totals(sales), digest)
+    return with_block_hash(block_totals(sales, derived), digest)
 
 
 def _side(headers: DataFrame, name: str) -> DataFrame:
@@ -48,8 +64,8 @@ def _side(headers: DataFrame, name: str) -> DataFrame:
 def pair_headers(source: DataFrame, target: DataFrame, how: str = "left") -> DataFrame:
     """Each source header beside its target header, or beside NULLs.
 
-    Both sides come out of an aggregation on ``period`` and are already
-    partitioned by it, so the join needs no further shuffle at any size; Spark
+    Headers of stored tables come out of an aggregation on ``period`` and are already
+    partitioned by it, so joining them needs no further shuffle at any size; Spark
     broadcasts one side only when the size it sees at run time is small.
     """
     return _side(source, "source").join(_side(target, "target"), "period", how)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import AMOUNT, AMOUNT_SUM
+from .headers import by_block
 
 ROW_ORDER = ("sale_ts", "sale_id", "line_no")
 PROFILED = ("period", "amount", "sale_ts")
@@ -22,20 +23,21 @@ def narrow(sales: Sales, *columns: str) -> DataFrame:
     return sales.select(*columns) if isinstance(sales, DataFrame) else sales(*columns)
 
 
-def block_profile(sales: Sales) -> DataFrame:
-    """Count, amounts and dates per block.
+def block_profile(sales: Sales, derived: bool = False) -> DataFrame:
+    """Count, amounts and dates per block; ``derived`` is as for ``by_block``.
 
     All buffers are of fixed width, so the aggregation stays in hash form; whole-table
     figures are rolled up from these few rows.
     """
-    rows = narrow(sales, *PROFILED)
-    return rows.groupBy(F.coalesce("period", F.lit("")).alias("period")).agg(
+    return by_block(
+        narrow(sales, *PROFILED),
         F.count(F.lit(1)).alias("row_count"),
         F.coalesce(F.sum("amount"), F.lit(0)).cast(AMOUNT_SUM).alias("amount_sum"),
         F.min("amount").alias("amount_min"),
         F.max("amount").alias("amount_max"),
         F.min("sale_ts").alias("first_date"),
         F.max("sale_ts").alias("last_date"),
+        derived=derived,
     )
 
 

@@ -13,14 +13,16 @@ from ..operators.stats import Sales, block_profile, statistics, top_blocks
 from ..scratch import materialise
 
 
-def side_statistics(source: Sales, target: Sales, approximate: bool = False) -> DataFrame:
-    """Statistics of both sides, one row each."""
+def side_statistics(
+    source: Sales, target: Sales, approximate: bool = False, derived: bool = False
+) -> DataFrame:
+    """Statistics of both sides, one row each; ``derived`` is about the source only."""
 
-    def side(name: str, sales: Sales) -> DataFrame:
-        stats = statistics(sales, approximate)
+    def side(name: str, sales: Sales, derived: bool) -> DataFrame:
+        stats = statistics(sales, approximate, block_profile(sales, derived))
         return stats.select(F.lit(name).alias("side"), *stats.columns)
 
-    return side("source", source).unionByName(side("target", target))
+    return side("source", source, derived).unionByName(side("target", target, False))
 
 
 def summary(sides: DataFrame) -> DataFrame:
@@ -59,6 +61,7 @@ def diagnostics(
     key: Sequence[str] = ("sale_id",),
     approximate: bool = False,
     digest: str = "md5",
+    derived: bool = False,
 ) -> DataFrame:
     """One row: both sides' statistics, their largest blocks, a sample and the sentence.
 
@@ -66,8 +69,8 @@ def diagnostics(
     profiles are written out once, as statistics and largest blocks both come from them.
     """
 
-    def side(name: str, sales: DataFrame) -> tuple[DataFrame, Column]:
-        profile = materialise(block_profile(sales), "profile")
+    def side(name: str, sales: DataFrame, derived: bool) -> tuple[DataFrame, Column]:
+        profile = materialise(block_profile(sales, derived), "profile")
         stats = statistics(sales, approximate, profile)
         best = top_blocks(with_block_hash(profile, digest))
         ranked = F.struct(-F.col("row_count"), "period", F.struct(*best.columns).alias("block"))
@@ -75,8 +78,8 @@ def diagnostics(
         one = stats.select(F.struct(*stats.columns).alias(name))
         return one, best.select(listed).scalar()
 
-    source_stats, source_top = side("source", source)
-    target_stats, target_top = side("target", target)
+    source_stats, source_top = side("source", source, derived)
+    target_stats, target_top = side("target", target, False)
     records = sample_records(source, sample, seed=seed, key=key)
     return source_stats.select("source", target_stats.scalar().alias("target")).select(
         "source",

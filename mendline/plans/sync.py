@@ -20,7 +20,7 @@ class TableSync:
     unchanged, so a run without changes reads no rows; without one they are
     always computed from the rows. ``derived`` states that the source's period is the
     month of its ``sale_ts``, so that a source which is not partitioned by period can
-    find changed blocks by time.
+    group by month and find changed blocks by time.
     """
 
     def __init__(
@@ -42,7 +42,7 @@ class TableSync:
 
     def _headers(self, side: BlockTable | DataFrame) -> DataFrame:
         if not isinstance(side, BlockTable):
-            return block_headers(side, self.digest)
+            return block_headers(side, self.digest, self.derived)
         if self.header_log:
             return self.header_log.headers(side, self.digest)
         return side.headers(self.digest)
@@ -83,7 +83,11 @@ class TableSync:
     def diagnostics(self, **options) -> DataFrame:
         """Statistics, largest blocks, a sample and a summary."""
         return diagnostics.diagnostics(
-            self.source_rows(), self.target.read(), digest=self.digest, **options
+            self.source_rows(),
+            self.target.read(),
+            digest=self.digest,
+            derived=self.derived,
+            **options,
         )
 
     def perturb(self, year: int, month: int, current_year: int, **options) -> str:

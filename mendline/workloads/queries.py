@@ -20,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 HEADER_COLUMNS = ("period", "amount")
+MONTHLY_COLUMNS = ("sale_ts", "amount")
 
 
 def query(function: Query) -> Query:
@@ -28,7 +29,8 @@ def query(function: Query) -> Query:
 
 
 def _source_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return headers.block_headers(retail.source_sales(spark, sf_dir, *HEADER_COLUMNS))
+    sales = retail.source_sales(spark, sf_dir, *MONTHLY_COLUMNS)
+    return headers.block_headers(sales, derived=True)
 
 
 def _target_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +148,8 @@ def headers_target(spark, sf_dir):
 
 @query
 def headers_sha256(spark, sf_dir):
-    return headers.block_headers(retail.source_sales(spark, sf_dir, *HEADER_COLUMNS), "sha256")
+    sales = retail.source_sales(spark, sf_dir, *MONTHLY_COLUMNS)
+    return headers.block_headers(sales, "sha256", derived=True)
 
 
 @query
@@ -283,7 +286,8 @@ def comparison_json(spark, sf_dir):
 
 @query
 def stats_source(spark, sf_dir):
-    return stats.statistics(partial(retail.source_sales, spark, sf_dir))
+    sales = partial(retail.source_sales, spark, sf_dir)
+    return stats.statistics(sales, profile=stats.block_profile(sales, derived=True))
 
 
 @query
@@ -298,7 +302,9 @@ def stats_first_last(spark, sf_dir):
 
 def _both_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnosis.side_statistics(
-        partial(retail.source_sales, spark, sf_dir), partial(retail.target_sales, spark, sf_dir)
+        partial(retail.source_sales, spark, sf_dir),
+        partial(retail.target_sales, spark, sf_dir),
+        derived=True,
     )
 
 
@@ -349,18 +355,20 @@ def perturb_block(spark, sf_dir):
     return retail.perturbed_sales(spark, sf_dir)
 
 
+def _perturbed_headers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    source = retail.order_sales(spark, sf_dir, *MONTHLY_COLUMNS)
+    target = retail.perturbed_sales(spark, sf_dir, *MONTHLY_COLUMNS)
+    return tuple(headers.block_headers(side, derived=True) for side in (source, target))
+
+
 @query
 def perturb_plan(spark, sf_dir):
-    source = retail.order_sales(spark, sf_dir, *HEADER_COLUMNS)
-    target = retail.perturbed_sales(spark, sf_dir, *HEADER_COLUMNS)
-    return plan.sync_plan(headers.block_headers(source), headers.block_headers(target))
+    return plan.sync_plan(*_perturbed_headers(spark, sf_dir))
 
 
 @query
 def perturb_status(spark, sf_dir):
-    source = retail.order_sales(spark, sf_dir, *HEADER_COLUMNS)
-    target = retail.perturbed_sales(spark, sf_dir, *HEADER_COLUMNS)
-    return status.system_status(headers.block_headers(source), headers.block_headers(target)).select(
+    return status.system_status(*_perturbed_headers(spark, sf_dir)).select(
         F.col("source.blocks").alias("source_blocks"),
         F.col("target.blocks").alias("target_blocks"),
         "state",
@@ -379,4 +387,4 @@ def synthetic_sales(spark, sf_dir):
 
 @query
 def synthetic_headers(spark, sf_dir):
-    return headers.block_headers(_generated(spark, sf_dir))
+    return headers.block_headers(_generated(spark, sf_dir), derived=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from datetime import datetime
 
 import pytest
 
@@ -14,6 +15,7 @@ from mendline.plans.report import (
     as_json, report_lines, sync_document, sync_report, write_json,
 )
 from mendline.plans.status import system_status
+from mendline.sources.synthetic import synthetic_sales
 from conftest import rows_of
 
 
@@ -45,6 +47,15 @@ def test_headers_do_not_depend_on_partitions_and_add_up(sales):
     assert {r[0]: (r[1], r[2]) for r in total} == whole
 
 
+def test_derived_headers_are_the_same(spark):
+    rows = synthetic_sales(spark, datetime(2024, 1, 1), rows=500)
+    assert rows_of(block_headers(rows, derived=True)) == rows_of(block_headers(rows))
+    profile = stats.block_profile(rows, derived=True)
+    assert rows_of(profile) == rows_of(stats.block_profile(rows))
+    undated = rows.selectExpr("CAST(NULL AS TIMESTAMP_NTZ) AS sale_ts", "amount")
+    assert [r.period for r in block_headers(undated, derived=True).collect()] == [""]
+
+
 def test_actions(sales):
     source = sales(
         (1, "2023-01", 1), (2, "2023-02", 2), (3, "2023-03", 3), (4, "2023-03", 4),
