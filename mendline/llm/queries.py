@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .interpolation import score_texts
 from .store import remainder
+from .suffixes import match_items
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,13 @@ def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"), train=~F.coalesce(held, F.lit(False)), tune=fold == 3, held=held)
 
 
+def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ten words of every benchmark item, looked up in every document."""
+    found = match_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
+    "op2_suffix_decontamination": op2_suffix_decontamination,
 }
