@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .interpolation import score_texts
+from .pivots import near_duplicates
 from .store import remainder
 from .suffixes import match_items
 
@@ -27,7 +28,14 @@ def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, and the components of those within two bits."""
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "fingerprint", "component_id", "n_copies")
+
+
 QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_suffix_decontamination": op2_suffix_decontamination,
+    "op5_simhash_pivots": op5_simhash_pivots,
 }
