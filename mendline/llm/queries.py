@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import fit, predict
 from .interpolation import score_texts
 from .pivots import near_duplicates
 from .store import remainder
@@ -34,8 +35,18 @@ def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "fingerprint", "component_id", "n_copies")
 
 
+def op7_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from remainders other than 1, and names the language of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    fold = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = fit(docs, ~fold)
+    found = predict(docs.withColumn("held_out", fold), model, ["doc_id", "held_out"])
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score", "rejected")
+
+
 QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_suffix_decontamination": op2_suffix_decontamination,
     "op5_simhash_pivots": op5_simhash_pivots,
+    "op7_nearest_centroid": op7_nearest_centroid,
 }
