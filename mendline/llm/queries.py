@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_pairs import encode_texts
 from .centroids import fit, predict
 from .interpolation import score_texts
 from .pivots import near_duplicates
 from .store import remainder
 from .suffixes import match_items
+from .transducer import count_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +47,24 @@ def op7_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "row.held_out", "lang_pred", "score", "rejected")
 
 
+def op9_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document in the vocabulary of 32,000 pieces."""
+    found = count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op10_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by 50,256 ranks, and what they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = encode_texts(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_suffix_decontamination": op2_suffix_decontamination,
     "op5_simhash_pivots": op5_simhash_pivots,
     "op7_nearest_centroid": op7_nearest_centroid,
+    "op9_transducer_counts": op9_transducer_counts,
+    "op10_byte_pairs": op10_byte_pairs,
 }
