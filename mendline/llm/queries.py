@@ -10,6 +10,8 @@ from .byte_pairs import encode_texts
 from .centroids import fit, predict
 from .interpolation import score_texts
 from .pivots import near_duplicates
+from .private_spans import find_spans
+from .private_spans import fit as fit_spans
 from .store import remainder
 from .suffixes import match_items
 from .transducer import count_tokens
@@ -32,6 +34,13 @@ def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; the labelers' reliabilities come from all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    found = find_spans(docs, fit_spans(docs))
+    return found.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
+
+
 def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, and the components of those within two bits."""
     found = near_duplicates(_table(spark, sf_dir, "documents"))
@@ -63,6 +72,7 @@ def op10_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_suffix_decontamination": op2_suffix_decontamination,
+    "op3_weak_supervision": op3_weak_supervision,
     "op5_simhash_pivots": op5_simhash_pivots,
     "op7_nearest_centroid": op7_nearest_centroid,
     "op9_transducer_counts": op9_transducer_counts,
