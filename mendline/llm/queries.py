@@ -15,6 +15,7 @@ from .private_spans import fit as fit_spans
 from .store import remainder
 from .suffixes import match_items
 from .transducer import count_tokens
+from .vantage import nearest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,11 @@ def op7_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "row.held_out", "lang_pred", "score", "rejected")
 
 
+def op8_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector among all others, exactly."""
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document in the vocabulary of 32,000 pieces."""
     found = count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -75,6 +81,7 @@ QUERIES = {
     "op3_weak_supervision": op3_weak_supervision,
     "op5_simhash_pivots": op5_simhash_pivots,
     "op7_nearest_centroid": op7_nearest_centroid,
+    "op8_vantage_trees": op8_vantage_trees,
     "op9_transducer_counts": op9_transducer_counts,
     "op10_byte_pairs": op10_byte_pairs,
 }
