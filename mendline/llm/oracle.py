@@ -1,3 +1,61 @@
 """The same results in SQL, where SQL can express them over whole tables."""
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_quotation_links": r"""
+WITH RECURSIVE numbered AS (
+    SELECT row_number() OVER () AS nr, conv_id, turn, role,
+           string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS lines
+    FROM conversations),
+lines AS (
+    SELECT nr, conv_id, turn, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM numbered),
+marked AS (
+    SELECT *, regexp_extract(line, '^[ \t]*((>[ \t]*)*)') AS mark FROM lines),
+leveled AS (
+    SELECT nr, conv_id, turn, i, length(regexp_replace(mark, '[^>]', '', 'g')) AS level,
+           CASE WHEN contains(mark, '>') THEN substr(line, length(mark) + 1) ELSE line END AS rest
+    FROM marked),
+edged AS (
+    SELECT *, trim(rest, ' ' || chr(9)) = '' AS blank,
+           lag(trim(rest, ' ' || chr(9)) = '') OVER w AS blank_before, lag(level) OVER w AS level_before,
+           lead(level) OVER w AS level_behind
+    FROM leveled WINDOW w AS (PARTITION BY nr ORDER BY i)),
+islands AS (
+    SELECT *, sum(CASE WHEN blank_before IS NULL OR blank_before OR level_before <> level THEN 1 ELSE 0 END)
+              OVER (PARTITION BY nr ORDER BY i) AS island
+    FROM edged WHERE NOT blank),
+blocks AS (
+    SELECT nr, conv_id, turn, level,
+           sha256(translate(trim(regexp_replace(string_agg(rest, ' ' ORDER BY i), '[ \t]+', ' ', 'g')),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS key
+    FROM islands GROUP BY nr, conv_id, turn, island, level),
+bodies AS (
+    SELECT nr, trim(coalesce(string_agg(rest, chr(10) ORDER BY i) FILTER (
+        level = 0 AND NOT (coalesce(level_behind > 0, false)
+                           AND regexp_matches(rest, '(wrote|writes|schrieb|écrit|escribió) ?:$'))), ''), chr(10)) AS body
+    FROM edged GROUP BY nr),
+origins AS (
+    SELECT conv_id, key, min(turn) AS origin FROM blocks WHERE level = 0 GROUP BY conv_id, key),
+linked AS (
+    SELECT DISTINCT q.conv_id, q.turn, q.level, q.key, o.origin
+    FROM blocks q JOIN origins o ON q.conv_id = o.conv_id AND q.key = o.key
+    WHERE q.level > 0 AND o.origin < q.turn),
+answers AS (
+    SELECT conv_id, turn, arg_max(origin, ROW(-level, origin)) AS parent_turn, count(*) AS n_linked
+    FROM linked GROUP BY conv_id, turn),
+chains AS (
+    SELECT conv_id, turn, parent_turn AS root_turn, 1 AS depth FROM answers
+    UNION ALL
+    SELECT c.conv_id, c.turn, a.parent_turn, c.depth + 1
+    FROM chains c JOIN answers a ON a.conv_id = c.conv_id AND a.turn = c.root_turn),
+roots AS (
+    SELECT conv_id, turn, arg_max(root_turn, depth) AS root_turn, max(depth) AS depth FROM chains GROUP BY conv_id, turn),
+counts AS (
+    SELECT nr, count(*) FILTER (level > 0) AS n_quotes, max(level) AS max_level FROM blocks GROUP BY nr)
+SELECT n.conv_id, n.turn, n.role, b.body, coalesce(c.n_quotes, 0)::BIGINT AS n_quotes,
+       coalesce(a.n_linked, 0)::BIGINT AS n_linked, coalesce(c.max_level, 0)::BIGINT AS max_level, a.parent_turn,
+       coalesce(r.root_turn, n.turn) AS root_turn, coalesce(r.depth, 0)::BIGINT AS depth
+FROM numbered n JOIN bodies b USING (nr) LEFT JOIN counts c USING (nr)
+LEFT JOIN answers a ON a.conv_id = n.conv_id AND a.turn = n.turn
+LEFT JOIN roots r ON r.conv_id = n.conv_id AND r.turn = n.turn
+""",
+}

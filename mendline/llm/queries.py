@@ -12,6 +12,7 @@ from .interpolation import score_texts
 from .pivots import near_duplicates
 from .private_spans import find_spans
 from .private_spans import fit as fit_spans
+from .quotes import reply_order
 from .store import remainder
 from .suffixes import match_items
 from .transducer import count_tokens
@@ -42,6 +43,11 @@ def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
 
 
+def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages without quotes, with what they answer."""
+    return reply_order(_table(spark, sf_dir, "conversations"))
+
+
 def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, and the components of those within two bits."""
     found = near_duplicates(_table(spark, sf_dir, "documents"))
@@ -79,6 +85,7 @@ QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_suffix_decontamination": op2_suffix_decontamination,
     "op3_weak_supervision": op3_weak_supervision,
+    "op4_quotation_links": op4_quotation_links,
     "op5_simhash_pivots": op5_simhash_pivots,
     "op7_nearest_centroid": op7_nearest_centroid,
     "op8_vantage_trees": op8_vantage_trees,
