@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_pairs import encode_texts
+from .captures import archive_and_read
 from .centroids import fit, predict
 from .interpolation import score_texts
 from .pivots import near_duplicates
@@ -54,6 +55,11 @@ def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "fingerprint", "component_id", "n_copies")
 
 
+def op6_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives, and read back through the two-level index."""
+    return archive_and_read(_table(spark, sf_dir, "pages"))
+
+
 def op7_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from remainders other than 1, and names the language of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -87,6 +93,7 @@ QUERIES = {
     "op3_weak_supervision": op3_weak_supervision,
     "op4_quotation_links": op4_quotation_links,
     "op5_simhash_pivots": op5_simhash_pivots,
+    "op6_capture_index": op6_capture_index,
     "op7_nearest_centroid": op7_nearest_centroid,
     "op8_vantage_trees": op8_vantage_trees,
     "op9_transducer_counts": op9_transducer_counts,
