@@ -130,7 +130,7 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, carry: Sequence[str]
     """
     texts = docs.select(F.struct(*carry).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     kind = f"row {texts.schema['row'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return texts.mapInArrow(partial(_encode, ranks=ranks, pattern=pattern, ids=ids), kind + ", ids array<bigint>" * ids)
+    return texts.mapInArrow(partial(_encode, ranks=ranks, pattern=pattern, ids=ids), kind + ", ids array<int>" * ids)
 
 
 def _encode(rows: Iterator[pa.RecordBatch], ranks: str, pattern: str, ids: bool) -> Iterator[pa.RecordBatch]:
@@ -145,11 +145,11 @@ def _encode(rows: Iterator[pa.RecordBatch], ranks: str, pattern: str, ids: bool)
             coded.append(hashlib.sha256(got).hexdigest())
             decoded.append(hashlib.sha256(coder.decode(got)).hexdigest())
             if ids:
-                lists.append(np.frombuffer(got, "<u4").astype(np.int64))
+                lists.append(np.frombuffer(got, "<u4").astype(np.int32))
         columns = [part.column("row"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
         names = ["row", "n_tokens", "ids_sha256", "decoded_sha256"]
         if ids:
-            columns.append(pa.array(lists, pa.list_(pa.int64())))
+            columns.append(pa.array(lists, pa.list_(pa.int32())))
             names.append("ids")
         yield pa.RecordBatch.from_arrays(columns, names=names)
 

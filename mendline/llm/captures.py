@@ -55,8 +55,9 @@ def capture_key(url: str | None, page_id: int | None) -> str:
     host, path = rest[:cut].rpartition("@")[2].lower(), rest[cut:]
     name, _, port = host.partition(":")
     reverse = ",".join(reversed(name.split("."))) + (f":{port}" if port not in ("", "80", "443") else "")
-    path = (path if path.startswith("/") else "/" + path).replace("\t", "%09").replace("\n", "%0A").replace("\r", "%0D")
-    return f"{reverse}){path} {'-' if page_id is None else page_id}"
+    path = path if path.startswith("/") else "/" + path
+    key = f"{reverse}){path} {'-' if page_id is None else page_id}"
+    return key.replace("\t", "%09").replace("\n", "%0A").replace("\r", "%0D")
 
 
 def _files(folder: str) -> tuple[fs.FileSystem, str]:

@@ -190,3 +190,19 @@ def near_duplicates(docs: DataFrame, carry: Sequence[str] = ("doc_id",), key: st
     return prints.join(named, "bits").select(
         "row", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", "n_copies"
     )
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays.
+
+    Rows without id come after those with one; of rows that are equal in that, one stays.
+    """
+    numbered = docs.withColumn("__nr", F.monotonically_increasing_id())
+    prints = stored(fingerprints(numbered, numbered.columns), "fingerprints")  # fixes the numbers
+    own = F.struct(F.col(f"row.{key}").isNull().alias("none"), F.col(f"row.{key}").alias("id"), F.col("row.__nr").alias("nr"))
+    classes = stored(prints.groupBy("bits").agg(F.min(own).alias("least")), "classes")
+    roots = components(links(classes.select("bits")))
+    held = classes.join(roots.withColumnRenamed("node", "bits"), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+    stay = held.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.nr").alias("nr"))
+    kept = prints.withColumn("nr", F.col("row.__nr")).join(stay, "nr", "left_semi")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
