@@ -41,7 +41,9 @@ from pyspark.sql import functions as F
 from .store import count_of, stored
 from .words import NOT_SPACE, Words, encode, mixed, slices, utf8
 
-BATCH_TOKENS = 3_000_000
+BATCH_TOKENS = 2_000_000
+#: Tokens whose probabilities are worked out at once.
+STRETCH = 400_000
 SLOT_KEYS = 1_200_000
 BUCKETS = 48
 #: Log probabilities fall into this many cells per unit (natural) for expectation-maximisation.
@@ -175,18 +177,19 @@ class _Grams:
         tokens = np.frombuffer(pa.decompress(row["tokens"], int(row["n_tokens"]) * 4, codec="zstd"), np.int32)
         hashes = np.append(np.frombuffer(row["words"], np.uint64), np.uint64(_END))
         self.width = len(hashes)
-        token = np.where(tokens < 0, self.width - 1, tokens).astype(np.int64)
+        token = np.where(tokens < 0, np.int32(self.width - 1), tokens)
         before = np.empty_like(token)
         before[1:] = token[:-1]
         if len(before):
             before[0] = self.width - 1  # the end of a text is the context of the next one's first word
-        pairs, self.pair_of = np.unique(before * self.width + token, return_inverse=True)
+        pairs, pair_of = np.unique(before * np.int64(self.width) + token, return_inverse=True)
+        self.pair_of = pair_of.astype(np.int32)
         with np.errstate(over="ignore"):
             mix = mixed(hashes[pairs // self.width] * np.uint64(3) + np.uint64(1)) + hashes[pairs % self.width]
         self.pair_keys, self.pair_order = self._sorted(mixed(mix))
         self.word_keys, self.word_order = self._sorted(hashes)
         self.token, self.before, self.lengths = token, before, lengths
-        self.text = np.repeat(np.arange(len(lengths)), lengths)
+        self.text = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
 
     @staticmethod
     def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -285,14 +288,14 @@ _ANSWER_NAMES = ["batch", "tune", "slot", "kind", "base", "full", "totals"]
 _ANSWER_TYPES = [pa.string(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
 
 
-def _parts(grams: _Grams, row: dict, which: str, n: int) -> tuple[np.ndarray, ...]:
-    """Of every token: bucket of its context, count, and the unigram and bigram estimates."""
+def _parts(grams: _Grams, row: dict, which: str, n: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Stretch by stretch, of every token: text, bucket of its context, count, unigram and bigram estimates."""
     word, pair = grams.answers(row, which)
-    context = word[grams.before]
-    count = word[grams.token]
-    one = count / max(n, 1)
-    two = np.divide(pair[grams.pair_of], context, out=np.zeros(len(context)), where=context > 0)
-    return bucket_of(context), count, one, two
+    for at in range(0, len(grams.token), STRETCH):
+        to = slice(at, at + STRETCH)
+        context, count = word[grams.before[to]], word[grams.token[to]]
+        two = np.divide(pair[grams.pair_of[to]], context, out=np.zeros(len(context)), where=context > 0)
+        yield grams.text[to], bucket_of(context), count, count / max(n, 1), two
 
 
 def bucket_of(count: np.ndarray) -> np.ndarray:
@@ -313,11 +316,11 @@ def _tally(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for part in rows:
         for i in range(part.num_rows):
             row = part.slice(i, 1).to_pylist()[0]
-            bucket, _, one, two = _parts(_Grams(row), row, "base", n)
-            code = (bucket * MOST_CELLS + _cell(one)) * MOST_CELLS + _cell(two)
-            code, times = np.unique(code, return_counts=True)
-            code, place = np.unique(np.concatenate([tally[0], code]), return_inverse=True)
-            tally = code, np.bincount(place, weights=np.concatenate([tally[1], times])).astype(np.int64)
+            for _, bucket, _, one, two in _parts(_Grams(row), row, "base", n):
+                code = (bucket * MOST_CELLS + _cell(one)) * MOST_CELLS + _cell(two)
+                code, times = np.unique(code, return_counts=True)
+                code, place = np.unique(np.concatenate([tally[0], code]), return_inverse=True)
+                tally = code, np.bincount(place, weights=np.concatenate([tally[1], times])).astype(np.int64)
     if len(tally[0]):
         yield pa.RecordBatch.from_arrays([pa.array(tally[0]), pa.array(tally[1])], names=["code", "times"])
 
@@ -362,22 +365,25 @@ def _score(rows: Iterator[pa.RecordBatch], n: int, v: int, weights: np.ndarray)
         for i in range(part.num_rows):
             row = part.slice(i, 1).to_pylist()[0]
             grams = _Grams(row)
-            bucket, count, one, two = _parts(grams, row, "full", n)
-            share = weights[bucket]
-            p = share[:, 0] / (v + 1) + share[:, 1] * one + share[:, 2] * two
-            if not n:
-                p = np.ones(len(count))  # nothing learnt: the only estimate is the uniform one
             size = len(grams.lengths)
-            each = lambda x: np.bincount(grams.text, weights=x, minlength=size)
+            known, base, model = np.zeros(size), np.zeros(size), np.zeros(size)
+            for text, bucket, count, one, two in _parts(grams, row, "full", n):
+                share = weights[bucket]
+                p = share[:, 0] / (v + 1) + share[:, 1] * one + share[:, 2] * two
+                if not n:
+                    p = np.ones(len(count))  # nothing learnt: the only estimate is the uniform one
+                known += np.bincount(text, weights=count > 0, minlength=size)
+                base += np.bincount(text, weights=np.log10((count + 1) / (n + v + 1)), minlength=size)
+                model += np.bincount(text, weights=np.log10(p), minlength=size)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(row["ids"], pa.int64()),
                     pa.array(row["held"], pa.bool_()),
                     pa.array(grams.lengths),
-                    pa.array(each(count > 0).astype(np.int64)),
+                    pa.array(known.astype(np.int64)),
                     pa.array(np.full(size, n, dtype=np.int64)),
-                    pa.array(each(np.log10((count + 1) / (n + v + 1)))),
-                    pa.array(each(np.log10(p))),
+                    pa.array(base),
+                    pa.array(model),
                 ],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
