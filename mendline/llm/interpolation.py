@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .store import count_of, stored
 from .words import NOT_SPACE, Words, encode, mixed, slices, utf8
 
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_400_000
 #: Tokens whose probabilities are worked out at once.
 STRETCH = 400_000
 SLOT_KEYS = 1_200_000
