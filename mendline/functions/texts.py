@@ -15,9 +15,9 @@ def thousands(number: Column) -> Column:
 def block_message(action: Column, rows: Column) -> Column:
     """What happened to a block, in words."""
     return (
-        F.when(action == INSERT, F.concat(F.lit("Block inserted with "), rows, F.lit(" rows")))
-        .when(action == SKIP, F.lit("No changes found"))
-        .when(action == REPAIR, F.concat(F.lit("Block repaired: "), rows, F.lit(" rows copied again")))
+        F.when(action == INSERT, F.concat(F.lit("new: "), rows, F.lit(" rows copied")))
+        .when(action == SKIP, F.lit("unchanged"))
+        .when(action == REPAIR, F.concat(F.lit("differed: replaced by "), rows, F.lit(" rows")))
     )
 
 

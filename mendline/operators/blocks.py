@@ -6,18 +6,13 @@ These work on any DataFrame with a ``period`` column. On a table partitioned by
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
-from datetime import datetime
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.periods import instant
 
-LISTED_BLOCKS = 10_000
-MOST_RANGES = 64
-
 
 def in_blocks(periods: Iterable[str]) -> Column:
     """Membership of a row in one of the listed blocks.
@@ -33,29 +28,42 @@ def in_blocks(periods: Iterable[str]) -> Column:
     return member
 
 
-def month_range(period: str) -> tuple[datetime, datetime]:
-    """First instant of a month and of the next."""
-    first = datetime.strptime(period, "%Y-%m")
-    after = datetime(first.year + first.month // 12, first.month % 12 + 1, 1)
-    return first, after
+def month_range(period: str) -> tuple[str, str | None] | None:
+    """First instant of a month and of the next, as text; the last month that has four digits of a
+    year is open-ended, and a period that is no month has no range.
+    """
+    if not (named := re.fullmatch("([0-9]{4})-(0[1-9]|1[0-2])", period)) or period < "0001":
+        return None
+    year, month = int(named[1]), int(named[2])
+    after = f"{year + month // 12:04d}-{month % 12 + 1:02d}-01 00:00:00"
+    return f"{period}-01 00:00:00", after if len(after) == 19 else None
 
 
-def month_ranges(periods: Iterable[str]) -> list[tuple[datetime, datetime]]:
-    """The months as time ranges, adjoining ones joined; very many become one hull."""
-    ranges: list[tuple[datetime, datetime]] = []
-    for first, after in sorted(month_range(p) for p in set(periods)):
-        if ranges and ranges[-1][1] == first:
-            ranges[-1] = (ranges[-1][0], after)
-        else:
-            ranges.append((first, after))
-    return ranges if len(ranges) <= MOST_RANGES else [(ranges[0][0], ranges[-1][1])]
+def _any(conditions: list[Column]) -> Column:
+    """Disjunction as a balanced tree, which stays shallow for any number of conditions."""
+    while len(conditions) > 1:
+        pairs = zip(conditions[::2], conditions[1::2])
+        rest = conditions[-1:] if len(conditions) % 2 else []
+        conditions = [a | b for a, b in pairs] + rest
+    return conditions[0]
 
 
 def in_months(periods: Iterable[str]) -> Column:
-    """Membership of ``sale_ts`` in one of the months, in a form that sources can filter by."""
+    """Membership of ``sale_ts`` in one of the months, in a form that sources can filter by.
+
+    Adjoining months are one range. True if one of the periods is no month.
+    """
+    ranges = [month_range(p or "") for p in set(periods)]
+    if not all(ranges):
+        return F.lit(True)
+    spans: list[list[str | None]] = []
+    for first, after in sorted(ranges):
+        if spans and spans[-1][1] == first:
+            spans[-1][1] = after
+        else:
+            spans.append([first, after])
     ts = F.col("sale_ts")
-    spans = [(ts >= instant(a)) & (ts < instant(b)) for a, b in month_ranges(periods)]
-    return reduce(or_, spans)
+    return _any([(ts >= instant(a)) & (ts < instant(b)) if b else ts >= instant(a) for a, b in spans])
 
 
 def fetch_blocks(sales: DataFrame, periods: Iterable[str], derived: bool = False) -> DataFrame:
@@ -67,7 +75,7 @@ def fetch_blocks(sales: DataFrame, periods: Iterable[str], derived: bool = False
     """
     listed = list(periods)
     rows = sales.filter(in_blocks(listed))
-    return rows.filter(in_months(listed)) if derived and all(listed) and listed else rows
+    return rows.filter(in_months(listed)) if derived and listed else rows
 
 
 def fetch_block(sales: DataFrame, period: str, derived: bool = False) -> DataFrame:
@@ -75,16 +83,10 @@ def fetch_block(sales: DataFrame, period: str, derived: bool = False) -> DataFra
     return fetch_blocks(sales, [period], derived)
 
 
-def listed_blocks(blocks: DataFrame) -> list[str] | None:
-    """The periods in ``blocks`` as a list, or None when there are too many for that."""
-    rows = blocks.select("period").limit(LISTED_BLOCKS + 1).collect()
-    return [row.period for row in rows] if len(rows) <= LISTED_BLOCKS else None
-
-
 def mark_named_blocks(sales: DataFrame, blocks: DataFrame) -> DataFrame:
     """Rows with ``_named``, true or NULL: whether their block is in ``blocks``.
 
-    For lists too long to be literals. An outer join rather than a semi or anti join,
+    An outer join rather than a semi or anti join,
     as Spark pushes those below unions, where a branch with a constant period would
     leave no key to join on.
     """
@@ -95,8 +97,26 @@ def mark_named_blocks(sales: DataFrame, blocks: DataFrame) -> DataFrame:
     return sales.join(named, same, "left").drop("_block")
 
 
-def fetch_named_blocks(sales: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Rows whose block is in ``blocks``."""
+def fetch_named_blocks(sales: DataFrame, blocks: DataFrame, derived: bool = False) -> DataFrame:
+    """Rows whose block is in ``blocks``, for any number of blocks.
+
+    The join prunes the directories of a stored table at run time. ``derived`` states that
+    ``period`` is the month of ``sale_ts``; the time from the first to the last of the
+    months then also goes to the scan, as scalar subqueries over ``blocks``.
+    """
+    if derived:
+        month = F.coalesce(F.expr("period RLIKE '^[0-9]{4}-(0[1-9]|1[0-2])$' AND period < '9999-12'"), F.lit(False))
+        first = F.when(month, F.to_timestamp_ntz(F.concat("period", F.lit("-01")), F.lit("yyyy-MM-dd")))
+        # A block that is no month, or has no next one, leaves both ends open.
+        known = F.bool_and(month)
+        ends = blocks.agg(
+            F.when(known, F.min(first)).otherwise(instant("0001-01-01 00:00:00")).alias("from"),
+            F.when(known, F.max(first) + F.expr("INTERVAL '1' MONTH"))
+            .otherwise(instant("9999-12-31 23:59:59.999999")).alias("to"),
+        )
+        # Rows without time are the join's to judge. The bounds come bare, as scans filter by no expression of them.
+        for within in (F.col("sale_ts") >= ends.select("from").scalar(), F.col("sale_ts") <= ends.select("to").scalar()):
+            sales = sales.filter(within | F.col("sale_ts").isNull())
     return mark_named_blocks(sales, blocks).filter("_named").drop("_named")
 
 
@@ -105,20 +125,6 @@ def keep_other_blocks(sales: DataFrame, blocks: DataFrame) -> DataFrame:
     return mark_named_blocks(sales, blocks).filter("_named IS NULL").drop("_named")
 
 
-def fetch_chosen_blocks(
-    sales: DataFrame, blocks: DataFrame, derived: bool = False
-) -> DataFrame | None:
-    """Rows whose block is in ``blocks``, or None when that names no block.
-
-    Up to ``LISTED_BLOCKS`` periods become literals, which prune the scan; a longer
-    list stays distributed and becomes a join.
-    """
-    listed = listed_blocks(blocks)
-    if listed is None:
-        return fetch_named_blocks(sales, blocks)
-    return fetch_blocks(sales, listed, derived) if listed else None
-
-
 def insert_block(sales: DataFrame, rows: DataFrame) -> DataFrame:
     """Append: duplicates are kept, nothing appended leaves the table as it is."""
     return sales.unionByName(rows)
@@ -139,10 +145,6 @@ def replace_block(sales: DataFrame, period: str, rows: DataFrame) -> DataFrame:
     return insert_block(delete_block(sales, period), rows)
 
 
-def merge_blocks(source: DataFrame, target: DataFrame, changed: DataFrame) -> DataFrame:
+def merge_blocks(source: DataFrame, target: DataFrame, changed: DataFrame, derived: bool = False) -> DataFrame:
     """What the target holds after a sync, without writing it."""
-    listed = listed_blocks(changed)
-    if listed is None:
-        kept = keep_other_blocks(target, changed)
-        return insert_block(kept, fetch_named_blocks(source, changed))
-    return insert_block(delete_blocks(target, listed), fetch_blocks(source, listed))
+    return insert_block(keep_other_blocks(target, changed), fetch_named_blocks(source, changed, derived))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import AMOUNT
-from .blocks import in_blocks
+from .blocks import fetch_block, in_blocks
 from .sample import seeded_mark
 
 SLOT_DIGITS = 4  # 16^4 slots: the histogram of marks has at most 65,536 rows
@@ -65,20 +65,20 @@ def perturb_block(
     seed: int = 7,
     key: str = "sale_id",
     keys: DataFrame | None = None,
+    derived: bool = False,
 ) -> DataFrame:
     """Scale the amounts of ``max(1, rows / divisor)`` rows of one block.
 
     The rows are chosen without replacement by a seeded order over ``key``, which
     must be unique within the block. All other rows, and a table without the
     block, come back unchanged. The choice needs only keys and periods; ``keys`` gives
-    them where that is cheaper than from ``sales``.
+    them where that is cheaper than from ``sales``. ``derived`` is as for ``fetch_blocks``.
     """
     if not 3 <= divisor <= 9:
         raise ValueError("divisor must be between 3 and 9")
     mark = seeded_mark(seed, [key])
     block = (
-        (sales if keys is None else keys)
-        .filter(in_blocks([period]))
+        fetch_block(sales if keys is None else keys, period, derived)
         .select(mark.alias("mark"), F.col(key).alias("key"))
     )
     last = _last_hit(block, divisor).scalar()

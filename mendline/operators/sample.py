@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .blocks import in_blocks
-
 RECORD = ("customer", "product", "amount", "period")
 
 
@@ -27,16 +25,19 @@ def sample_rows(
 
     Two top-k passes, in which every task keeps at most ``count`` rows. The first reads
     only keys and periods (from ``keys`` where that is cheaper to compute); the second
-    reads whole rows, but only where the at most ``count`` chosen keys can be.
+    joins whole rows with the chosen keys. Keys may repeat or be NULL: rows with equal
+    keys are ordered by all their columns, and NULL equals NULL. Nothing is collected.
     """
     narrow = sales if keys is None else keys
     by_mark = (seeded_mark(seed, key), *key)
     chosen = narrow.select(F.coalesce("period", F.lit("")).alias("block"), *key)
-    chosen = chosen.orderBy(*by_mark).limit(count).collect()
-    near = in_blocks({row.block for row in chosen})
+    chosen = chosen.orderBy(*by_mark).limit(count).distinct()
+    chosen = chosen.select("block", *(F.col(name).alias(f"_{name}") for name in key))
+    same = F.coalesce("period", F.lit("")) == F.col("block")
     for name in key:
-        near = near & F.col(name).isin({row[name] for row in chosen})
-    return sales.filter(near).orderBy(*by_mark).limit(count)
+        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
+    rows = sales.join(chosen, same, "left_semi")
+    return rows.orderBy(*by_mark, *(c for c in sorted(sales.columns) if c not in key)).limit(count)
 
 
 def as_records(sales: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Carrying out a plan: copy the changed blocks into the target."""
+"""Carrying out a plan: copy the changed blocks into the target, and check them there."""
 
 from __future__ import annotations
 
@@ -7,16 +7,21 @@ from itertools import islice
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.blocks import LISTED_BLOCKS, fetch_blocks, fetch_chosen_blocks
+from ..functions.texts import block_message
+from ..operators.blocks import fetch_blocks, fetch_named_blocks
+from ..operators.headers import block_headers
+from ..schema import SKIP
 from ..scratch import materialise
 from ..sources.table import REBALANCE, BlockTable
 from .plan import block_results, changed_blocks
 
+#: Blocks that are tried together once the copy of all has failed.
+TRIED = 1_000
 _FAILURES = "period string, error string"
 
 
-def _first_line(error: Exception) -> str:
-    return (str(error) or type(error).__name__).splitlines()[0]
+def _text_of(error: Exception) -> str:
+    return str(error) or type(error).__name__
 
 
 def _copy_isolated(
@@ -24,9 +29,9 @@ def _copy_isolated(
 ) -> Iterator[tuple[str, str]]:
     """Copy the blocks in one job; if it fails, copy each half on its own.
 
-    A failed job leaves the target as it was. One bad block among n costs about
-    2 log2(n) jobs and copies every good block about twice at most, instead of one
-    job per block. Yields the blocks that fail alone, with the error.
+    One bad block among n costs about 2 log2(n) jobs and copies every good block about
+    twice at most, instead of one job per block. Yields the blocks that fail alone,
+    with the error.
     """
     try:
         target.replace(fetch_blocks(source, periods, derived), layout)
@@ -34,26 +39,42 @@ def _copy_isolated(
         if source.sparkSession.sparkContext._jsc.sc().isStopped():
             raise
         if len(periods) == 1:
-            yield periods[0], _first_line(error)
+            yield periods[0], _text_of(error)
             return
         half = len(periods) // 2
         yield from _copy_isolated(source, target, periods[:half], layout, derived)
         yield from _copy_isolated(source, target, periods[half:], layout, derived)
 
 
-def _with_failures(results: DataFrame, failures: list[tuple[str, str]]) -> DataFrame:
-    """A failed block keeps its action, but counts no rows and says why it failed."""
+def _reachable(source: DataFrame, target: BlockTable) -> None:
+    """Raises if not even a row can be read, or nothing can be written: then no block is to blame."""
+    source.select(F.lit(1)).limit(1).collect()
+    target.append(target.spark.createDataFrame([], target.schema))
+
+
+def _checked(
+    results: DataFrame, target: BlockTable, failures: list[tuple[str, str]], digest: str
+) -> DataFrame:
+    """The results as they came out: rows are those found in the target, whose headers are
+    taken again for the changed blocks only. A block whose header is not the source's has failed.
+    """
+    found = block_headers(fetch_named_blocks(target.read(), changed_blocks(results)), digest)
+    found = found.select("period", F.col("row_count").alias("_rows"), F.col("block_hash").alias("_hash"))
     errors = results.sparkSession.createDataFrame(failures, _FAILURES)
-    failed = F.col("error").isNotNull()
-    changed = {
-        "rows_processed": F.when(failed, F.lit(0).cast("bigint")).otherwise(F.col("rows_processed")),
-        "rows_inserted": F.when(failed, F.lit(0).cast("bigint")).otherwise(F.col("rows_inserted")),
-        "message": F.when(failed, F.concat(F.lit("Error: "), "error")).otherwise(F.col("message")),
-        "failed": failed,
+    changed = F.col("action") != SKIP
+    wrong = changed & (F.col("error").isNotNull() | ~F.col("_hash").eqNullSafe(F.col("source_hash")))
+    rows = F.when(wrong, F.lit(0)).when(changed, F.col("_rows"))
+    why = F.coalesce("error", F.lit("the block in the target does not have the header of the source's"))
+    new = {
+        "rows_processed": F.coalesce(rows, "rows_processed").cast("bigint"),
+        "rows_inserted": F.coalesce(rows, "rows_inserted").cast("bigint"),
+        "message": F.when(wrong, F.concat(F.lit("Error: "), why)).otherwise(
+            block_message(F.col("action"), F.coalesce(rows, "rows_processed").cast("string"))
+        ),
+        "failed": wrong,
     }
-    return results.join(errors, "period", "left").select(
-        *(changed.get(name, F.col(name)).alias(name) for name in results.columns)
-    )
+    joined = results.join(found, "period", "left").join(errors, "period", "left")
+    return joined.select(*(new.get(name, F.col(name)).alias(name) for name in results.columns))
 
 
 def apply_plan(
@@ -63,26 +84,32 @@ def apply_plan(
     layout: str = REBALANCE,
     isolate: bool = False,
     derived: bool = False,
+    digest: str = "md5",
 ) -> DataFrame:
     """Copy every INSERT and REPAIR block from ``source`` and return the block results.
 
     The plan reads the target that is about to change, so it is written to a scratch
-    table first. The changed blocks are then read in one scan and swapped in by one
-    partition overwrite: all or nothing, and repeatable. Up to ``LISTED_BLOCKS`` of
-    them are literals and prune the scan; a longer list is a join.
+    table first. The changed blocks, however many, are then read in one scan that a join
+    with the plan prunes, and put in place by one partition overwrite. New files are staged
+    before any block is touched, but the commit swaps block by block. Afterwards the
+    changed blocks are counted in the target and their headers compared with the
+    source's; ``digest`` is the plan's.
 
     With ``isolate`` a block that cannot be copied is reported as failed and the
     others are still copied. ``derived`` is as for ``fetch_blocks``.
     """
     results = materialise(block_results(plan), "plan")
     changed = changed_blocks(results)
-    if isolate:
-        failures: list[tuple[str, str]] = []
+    if changed.isEmpty():
+        return results
+    failures: list[tuple[str, str]] = []
+    try:
+        target.replace(fetch_named_blocks(source, changed, derived), layout)
+    except Exception:
+        if not isolate or source.sparkSession.sparkContext._jsc.sc().isStopped():
+            raise
+        _reachable(source, target)
         periods = (row.period for row in changed.toLocalIterator())
-        while some := list(islice(periods, LISTED_BLOCKS)):
+        while some := list(islice(periods, TRIED)):
             failures.extend(_copy_isolated(source, target, some, layout, derived))
-        return _with_failures(results, failures) if failures else results
-    rows = fetch_chosen_blocks(source, changed, derived)
-    if rows is not None:
-        target.replace(rows, layout)
-    return results
+    return materialise(_checked(results, target, failures, digest), "results")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.periods import check_request
-from ..operators.headers import block_headers
+from ..operators.headers import block_headers, header_equality
 from ..operators.perturb import perturb_block
+from ..scratch import scratch_path
 from ..sources.header_log import HeaderLog
 from ..sources.table import KEEP, REBALANCE, BlockTable
 from . import apply, compare, diagnostics, plan, report, status
@@ -65,7 +66,7 @@ class TableSync:
         """
         layout = KEEP if isinstance(self.source, BlockTable) else REBALANCE
         return apply.apply_plan(
-            self.plan(), self.source_rows(), self.target, layout, isolate, self.derived
+            self.plan(), self.source_rows(), self.target, layout, isolate, self.derived, self.digest
         )
 
     def report(self, results: DataFrame) -> DataFrame:
@@ -100,11 +101,18 @@ class TableSync:
     def reset(self, baseline: DataFrame | None = None) -> None:
         """Empty the target, and put the source table back to ``baseline`` if one is given.
 
-        ``baseline`` must not read the source table itself.
+        The baseline is first written to a scratch table of its own, so it may read the source, and
+        one that fails leaves source and target as they are. The source is then replaced from
+        that copy and compared with it; the target is emptied last.
         """
-        self.target.clear()
         if baseline is not None:
             if not isinstance(self.source, BlockTable):
                 raise TypeError("only a table of blocks can be put back to a baseline")
-            self.source.clear()
-            self.source.append(baseline)
+            staged = BlockTable(self.source.spark, scratch_path(self.source.spark, "baseline"), self.source.schema)
+            staged.append(baseline)
+            self.source.replace_all(staged.read())
+            wrong = header_equality(staged.headers(), self.source.headers()).where("NOT same")
+            if not wrong.isEmpty():
+                raise RuntimeError(f"the source differs from its baseline, which is kept in {staged.path}")
+            staged.clear()
+        self.target.clear()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -12,15 +15,21 @@ _local_root: str | None = None
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a local session may do without it."""
+    """``spark.checkpoint.dir``; only a session whose tasks run in the driver may do without it.
+
+    The folder must be absolute or a URI, as executors may have another working folder.
+    """
     global _local_root
     shared = spark.conf.get(CHECKPOINT_DIR, None)
     if shared:
+        if not (shared.startswith("/") or ":/" in shared):
+            raise ValueError(f"{CHECKPOINT_DIR} must be an absolute path or a URI, not {shared!r}")
         return shared.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "")):
         raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="mendline-")
+        atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
     return _local_root
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..operators.blocks import fetch_chosen_blocks
+from ..operators.blocks import fetch_named_blocks
 from ..operators.headers import block_totals, with_block_hash
 from ..schema import AMOUNT_SUM
 from ..scratch import materialise
@@ -91,8 +91,8 @@ class HeaderLog:
         fresh = looked_up.filter(F.col("row_count").isNotNull())
         stale = looked_up.filter(F.col("row_count").isNull()).select("period")
         totals = fresh.select("period", "row_count", "amount_sum")
-        rows = fetch_chosen_blocks(table.read(), stale)
-        if rows is not None:
+        if not stale.isEmpty():
+            rows = fetch_named_blocks(table.read(), stale)
             computed = materialise(block_totals(rows), "header-log")
             self._remember(computed, looked_up, file_marks(table))
             totals = totals.unionByName(computed)

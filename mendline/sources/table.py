@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.blocks import fetch_blocks
 from ..operators.headers import block_headers
@@ -58,7 +58,10 @@ class BlockTable:
         if layout not in (KEEP, REBALANCE):
             raise ValueError(f"layout must be {KEEP!r} or {REBALANCE!r}, not {layout!r}")
         rows = rows.select(*self.schema.names)
-        if layout == REBALANCE:
+        if layout == REBALANCE and self.spark.conf.get("spark.sql.adaptive.enabled") != "true":
+            # Nothing would split or join what the hint deals out; a few tasks per block do.
+            rows = rows.repartition("period", F.pmod(F.xxhash64(*rows.columns), F.lit(8)))
+        elif layout == REBALANCE:
             # One shuffle by block; adaptive execution then splits the partitions of
             # large blocks and joins those of small ones to files of even size.
             rows = rows.hint("rebalance", "period")
@@ -89,6 +92,11 @@ class BlockTable:
             fs, path = self._fs_path(naming.getPartitionPathString("period", period))
             fs.delete(path, True)
 
+    def replace_all(self, rows: DataFrame) -> None:
+        """Put ``rows``, which must not read this table, in the place of everything."""
+        writer = self._writer(rows, REBALANCE).mode("overwrite")
+        writer.option("partitionOverwriteMode", "static").parquet(self.path)
+
     def clear(self) -> None:
         """Remove all rows, keeping an empty table."""
         (

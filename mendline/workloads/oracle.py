@@ -93,9 +93,9 @@ RESULTS = """
 results AS (
   SELECT period, action, source_hash, target_hash_before, row_count AS rows_processed,
          CASE WHEN action = 'SKIP' THEN 0 ELSE row_count END AS rows_inserted,
-         CASE action WHEN 'INSERT' THEN 'Block inserted with ' || row_count || ' rows'
-                     WHEN 'SKIP' THEN 'No changes found'
-                     ELSE 'Block repaired: ' || row_count || ' rows copied again' END AS message,
+         CASE action WHEN 'INSERT' THEN 'new: ' || row_count || ' rows copied'
+                     WHEN 'SKIP' THEN 'unchanged'
+                     ELSE 'differed: replaced by ' || row_count || ' rows' END AS message,
          false AS failed
   FROM plan
 )"""
@@ -161,29 +161,7 @@ def _json_info(side: str) -> str:
 
 
 PLAN_COLUMNS = "period, action, source_hash, target_hash_before, row_count"
-GENERATED = f"""
-digits AS (
-  SELECT o_orderkey AS sale_id, md5('8675309|' || o_orderkey) AS d FROM orders
-),
-pieces AS (
-  SELECT sale_id, ('0x' || substr(d, 1, 8))::BIGINT AS p0, ('0x' || substr(d, 9, 8))::BIGINT AS p1,
-         ('0x' || substr(d, 17, 8))::BIGINT AS p2, ('0x' || substr(d, 25, 8))::BIGINT AS p3
-  FROM digits
-),
-dated AS (
-  SELECT *, TIMESTAMP '2022-01-01' + to_seconds(p0 % date_diff('second', TIMESTAMP '2022-01-01',
-           TIMESTAMP '{retail.GENERATED_UNTIL}')) AS sale_ts
-  FROM pieces
-),
-G AS (
-  SELECT sale_id, 1 AS line_no, sale_ts,
-         'Customer ' || lpad(CAST(p2 % 1000 AS VARCHAR), 6, '0') AS customer,
-         'Product ' || lpad(CAST(p3 % 200 AS VARCHAR), 6, '0') AS product,
-         CAST(CAST(1000 + p1 % 499001 AS DECIMAL(18,0)) * CAST(0.01 AS DECIMAL(3,2))
-              AS DECIMAL(18,2)) AS amount,
-         strftime(sale_ts, '%Y-%m') AS period
-  FROM dated
-)"""
+
 
 ORACLE: dict[str, str] = {
     "scan_source": _with(S, select=f"SELECT {COLUMNS} FROM S"),
@@ -212,12 +190,15 @@ UNION ALL SELECT {COLUMNS} FROM S WHERE period = '1997-07'""",
     ),
     "period_of_sale": _with(S, select="SELECT sale_id, line_no, sale_ts, period FROM S"),
     "period_requests": f"""
-SELECT request_id, year, month, printf('%04d-%02d', year, month) AS period,
-       CASE WHEN month NOT BETWEEN 1 AND 12 THEN 'month must be between 1 and 12'
+SELECT request_id, year, month,
+       CASE WHEN year IS NOT NULL AND month IS NOT NULL THEN printf('%04d-%02d', year, month) END AS period,
+       CASE WHEN year IS NULL OR month IS NULL THEN 'a period needs a year and a month'
+            WHEN month NOT BETWEEN 1 AND 12 THEN 'no such month: give 1 to 12'
             WHEN year NOT BETWEEN 2020 AND {retail.CURRENT_YEAR}
-            THEN 'year must be between 2020 and {retail.CURRENT_YEAR}' END AS problem
-FROM (SELECT o_orderkey AS request_id, CAST(year(o_orderdate) + 22 AS INTEGER) AS year,
-             CAST(o_orderkey % 15 AS INTEGER) AS month FROM orders)""",
+            THEN 'no data for that year: give 2020 to {retail.CURRENT_YEAR}' END AS problem
+FROM (SELECT o_orderkey AS request_id,
+             CASE WHEN o_orderkey % 23 <> 0 THEN CAST(year(o_orderdate) + 22 AS INTEGER) END AS year,
+             CASE WHEN o_orderkey % 29 <> 0 THEN CAST(o_orderkey % 15 AS INTEGER) END AS month FROM orders)""",
     "headers_source": _with(S, HS, select="SELECT * FROM HS"),
     "headers_target": _with(S, T, HT, select="SELECT * FROM HT"),
     "headers_sha256": _with(S, _headers("H2", "S", "sha256"), select="SELECT * FROM H2"),
@@ -270,6 +251,7 @@ SELECT count(*) AS total_blocks,
 FROM results""",
     ),
     "sync_apply": _with(S, T, HS, HT, PLAN, SYNCED, select=f"SELECT {COLUMNS} FROM synced"),
+    "sync_results": _with(S, T, HS, HT, PLAN, RESULTS, select="SELECT * FROM results"),
     "sync_merge": _with(S, T, HS, HT, PLAN, SYNCED, select=f"SELECT {COLUMNS} FROM synced"),
     "resync_plan": _with(
         S, T, HS, HT, PLAN, SYNCED, _headers("HN", "synced"), _plan("HS", "HN", "again"),
@@ -366,6 +348,18 @@ SELECT 'target' AS side, * FROM (SELECT * FROM HT ORDER BY row_count DESC, perio
 SELECT CAST(sale_id AS VARCHAR) AS sale_id, sale_ts, customer, product, amount, period
 FROM K ORDER BY md5('7|' || CAST(K.sale_id AS VARCHAR)), K.sale_id LIMIT 10""",
     ),
+    "sample_repeated_keys": _with(
+        S,
+        select=f"""
+SELECT {COLUMNS} FROM S ORDER BY md5('7|' || CAST(S.sale_id AS VARCHAR)), S.sale_id, amount, customer,
+       line_no, period, product, sale_ts LIMIT 12""",
+    ),
+    "perturb_repair": _with(
+        K, P, _headers("HK", "K"), _headers("HP", "P"), _plan("HK", "HP"),
+        select="""
+SELECT period, action AS action_before, CASE WHEN action = 'SKIP' THEN 0 ELSE row_count END AS rows_inserted,
+       false AS failed, 'SKIP' AS action_after FROM plan""",
+    ),
     "perturb_block": _with(K, P, select=f"SELECT {COLUMNS} FROM P"),
     "perturb_plan": _with(
         K, P, _headers("HK", "K"), _headers("HP", "P"), _plan("HK", "HP"),
@@ -377,6 +371,4 @@ FROM K ORDER BY md5('7|' || CAST(K.sale_id AS VARCHAR)), K.sale_id LIMIT 10""",
 SELECT (SELECT count(*) FROM HK) AS source_blocks, (SELECT count(*) FROM HP) AS target_blocks,
        {_state("HK", "HP")} AS state""",
     ),
-    "synthetic_sales": _with(GENERATED, select=f"SELECT {COLUMNS} FROM G"),
-    "synthetic_headers": _with(GENERATED, _headers("HG", "G"), select="SELECT * FROM HG"),
 }

@@ -11,8 +11,8 @@ from ..functions import periods, texts
 from ..operators import blocks, headers, sample, stats
 from ..plans import apply, compare, plan, report, status
 from ..plans import diagnostics as diagnosis
-from ..scratch import scratch_path
-from ..sources import synthetic
+from ..plans.sync import TableSync
+from ..scratch import materialise, scratch_path
 from ..sources.table import BlockTable
 from . import retail
 
@@ -48,11 +48,8 @@ def written_target(spark: SparkSession, sf_dir: str) -> BlockTable:
     return table
 
 
-def _synced_target(spark: SparkSession, sf_dir: str) -> BlockTable:
-    target = written_target(spark, sf_dir)
-    actions = plan.sync_plan(_source_headers(spark, sf_dir), target.headers())
-    apply.apply_plan(actions, retail.source_sales(spark, sf_dir), target, derived=True)
-    return target
+def _sync(spark: SparkSession, sf_dir: str) -> TableSync:
+    return TableSync(retail.source_sales(spark, sf_dir), written_target(spark, sf_dir), derived=True)
 
 
 # Scans, fetches and changes of blocks.
@@ -80,10 +77,8 @@ def fetch_target_block(spark, sf_dir):
 
 @query
 def fetch_changed_blocks(spark, sf_dir):
-    changed = plan.changed_blocks(plan.sync_plan(*_headers(spark, sf_dir)))
-    source = retail.source_sales(spark, sf_dir)
-    rows = blocks.fetch_chosen_blocks(source, changed, derived=True)
-    return source.filter(F.lit(False)) if rows is None else rows
+    changed = materialise(plan.changed_blocks(plan.sync_plan(*_headers(spark, sf_dir))), "changed")
+    return blocks.fetch_named_blocks(retail.source_sales(spark, sf_dir), changed, derived=True)
 
 
 @query
@@ -107,7 +102,7 @@ def replace_block(spark, sf_dir):
 @query
 def clear_target(spark, sf_dir):
     target = written_target(spark, sf_dir)
-    before = stats.table_info(_target_headers(spark, sf_dir)).select(F.col("rows").alias("n"))
+    before = materialise(target.read().agg(F.count(F.lit(1)).alias("n")), "before")
     target.clear()
     after = target.read().agg(F.count(F.lit(1)).alias("rows_after"))
     return after.select(before.scalar().alias("rows_before"), "rows_after")
@@ -194,28 +189,40 @@ def sync_document(spark, sf_dir):
 
 @query
 def sync_apply(spark, sf_dir):
-    return _synced_target(spark, sf_dir).read()
+    sync = _sync(spark, sf_dir)
+    sync.synchronize()
+    return sync.target.read()
+
+
+@query
+def sync_results(spark, sf_dir):
+    return _sync(spark, sf_dir).synchronize()
 
 
 @query
 def sync_merge(spark, sf_dir):
-    changed = plan.changed_blocks(plan.sync_plan(*_headers(spark, sf_dir)))
+    changed = materialise(plan.changed_blocks(plan.sync_plan(*_headers(spark, sf_dir))), "changed")
     return blocks.merge_blocks(
-        retail.source_sales(spark, sf_dir), retail.target_sales(spark, sf_dir), changed
+        retail.source_sales(spark, sf_dir), retail.target_sales(spark, sf_dir), changed, derived=True
     )
 
 
 @query
 def resync_plan(spark, sf_dir):
-    target = _synced_target(spark, sf_dir)
-    return plan.sync_plan(_source_headers(spark, sf_dir), target.headers())
+    sync = _sync(spark, sf_dir)
+    sync.synchronize()
+    return sync.plan()
 
 
 @query
 def reset_then_plan(spark, sf_dir):
-    target = written_target(spark, sf_dir)
-    target.clear()
-    return plan.sync_plan(_source_headers(spark, sf_dir), target.headers())
+    """A stored source loses rows and gets wrong ones, and is put back; the next plan inserts all."""
+    baseline = retail.source_sales(spark, sf_dir)
+    source = BlockTable(spark, scratch_path(spark, "source"))
+    source.append(baseline.where("line_no = 1").withColumn("amount", F.col("amount") * 0 + 1))
+    sync = TableSync(source, written_target(spark, sf_dir))
+    sync.reset(baseline)
+    return sync.plan()
 
 
 @query
@@ -310,7 +317,11 @@ def _both_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stats_empty(spark, sf_dir):
-    none = blocks.fetch_block(retail.source_sales(spark, sf_dir), "1890-01")
+    def none(*columns):
+        wanted = dict.fromkeys((*columns, "sale_ts", "period"))
+        sales = retail.source_sales(spark, sf_dir, *wanted)
+        return blocks.fetch_block(sales, "1890-01", derived=True).select(*columns)
+
     return stats.statistics(none)
 
 
@@ -347,7 +358,13 @@ def sample_records(spark, sf_dir):
     return sample.sample_records(retail.order_sales(spark, sf_dir), keys=keys)
 
 
-# Perturbation and generated sales.
+@query
+def sample_repeated_keys(spark, sf_dir):
+    keys = retail.source_sales(spark, sf_dir, "sale_id", "period")
+    return sample.sample_rows(retail.source_sales(spark, sf_dir), 12, keys=keys)
+
+
+# Perturbation.
 
 
 @query
@@ -375,16 +392,12 @@ def perturb_status(spark, sf_dir):
     )
 
 
-def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = retail.read(spark, sf_dir, "orders").select("o_orderkey")
-    return synthetic.sales_from_ids(ids, retail.GENERATED_UNTIL)
-
-
-@query
-def synthetic_sales(spark, sf_dir):
-    return _generated(spark, sf_dir)
-
-
 @query
-def synthetic_headers(spark, sf_dir):
-    return headers.block_headers(_generated(spark, sf_dir), derived=True)
+def perturb_repair(spark, sf_dir):
+    """Actions before and after the repair of a stored table with one damaged block."""
+    source = retail.order_sales(spark, sf_dir)
+    target = BlockTable(spark, scratch_path(spark, "damaged"))
+    target.append(retail.perturbed_sales(spark, sf_dir))
+    sync = TableSync(source, target, derived=True)
+    results = sync.synchronize().select("period", F.col("action").alias("action_before"), "rows_inserted", "failed")
+    return results.join(sync.plan().select("period", F.col("action").alias("action_after")), "period")

@@ -8,11 +8,7 @@ left to Spark, which goes by the measured sizes and splits skewed keys.
 
 from __future__ import annotations
 
-from datetime import datetime
-from functools import cache
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.periods import period_of
 from ..operators.blocks import fetch_block
@@ -24,15 +20,8 @@ COPIED_PERIOD = "1995-01"
 PERTURBED_PERIOD = "1997-03"
 
 
-@cache
-def _schema(path: str) -> StructType:
-    """Schema of a given table; the tables never change, so its footer is read once."""
-    return SparkSession.active().read.parquet(path).schema
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    return spark.read.schema(_schema(path)).parquet(path)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _text(name: str) -> Column:
@@ -121,19 +110,19 @@ def perturbed_sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFram
     wanted = columns or tuple(SALES.names)
     needed = dict.fromkeys((*wanted, "sale_id", "amount", "period"))
     sales = order_sales(spark, sf_dir, *needed)
-    keys = order_sales(spark, sf_dir, "sale_id", "period")
-    return perturb_block(sales, PERTURBED_PERIOD, keys=keys).select(*wanted)
+    keys = order_sales(spark, sf_dir, "sale_id", "sale_ts", "period")
+    return perturb_block(sales, PERTURBED_PERIOD, keys=keys, derived=True).select(*wanted)
 
 
 def period_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request for a period per order, valid or not in year and month."""
+    """One request for a period per order, valid or not, some without year or month."""
+    key = F.col("o_orderkey")
     return read(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("request_id"),
-        (F.year("o_orderdate") + 22).alias("year"),
-        (F.col("o_orderkey") % 15).cast("int").alias("month"),
+        key.alias("request_id"),
+        F.when(key % 23 != 0, F.year("o_orderdate") + 22).alias("year"),
+        F.when(key % 29 != 0, (key % 15).cast("int")).alias("month"),
     )
 
 
-# Arguments that would otherwise come from the clock.
+# The argument that would otherwise come from the clock.
 CURRENT_YEAR = 2022
-GENERATED_UNTIL = datetime(2025, 1, 1)

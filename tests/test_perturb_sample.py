@@ -7,6 +7,7 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from mendline.operators import perturb
 from mendline.operators.headers import block_headers
@@ -65,6 +66,15 @@ def test_sample(sales):
     assert len({r.sale_id for r in two.collect()}) == 5
 
 
+def test_sample_of_null_and_repeated_keys(sales):
+    rows = sales((1, "2023-01", 1), (2, "2023-01", 2), (3, None, 3)).withColumn(
+        "sale_id", F.when(F.col("sale_id") != 2, F.col("sale_id"))
+    )
+    assert rows_of(sample_rows(rows, 10)) == rows_of(rows)
+    many = sales(*((i % 7, "2023-01", i) for i in range(200)))
+    assert len({tuple(rows_of(sample_rows(many.repartition(n), 10))) for n in (1, 3, 8)}) == 1
+
+
 def test_generated_sales_do_not_depend_on_partitions(spark):
     ids = spark.range(500)
     one = sales_from_ids(ids.coalesce(1), END)

@@ -6,6 +6,7 @@ import hashlib
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from mendline.operators import blocks, stats
 from mendline.operators.headers import block_headers, header_equality
@@ -83,9 +84,9 @@ def test_results_report_and_lines(sales):
     results = block_results(sync_plan(block_headers(source), block_headers(target)))
     got = {r.period: (r.rows_processed, r.rows_inserted, r.message) for r in results.collect()}
     assert got == {
-        "2023-01": (1, 0, "No changes found"),
-        "2023-02": (2, 2, "Block inserted with 2 rows"),
-        "2023-03": (1, 1, "Block repaired: 1 rows copied again"),
+        "2023-01": (1, 0, "unchanged"),
+        "2023-02": (2, 2, "new: 2 rows copied"),
+        "2023-03": (1, 1, "differed: replaced by 1 rows"),
     }
     assert sync_report(results).first().asDict() == {
         "total_blocks": 3, "skipped": 1, "inserted": 1, "repaired": 1,
@@ -156,20 +157,42 @@ def test_view_operators_on_blocks(sales):
     assert [h.row_count for h in block_headers(rows).filter("period = ''").collect()] == [2]
 
 
-def test_december_ends_in_the_next_year():
-    first, after = blocks.month_range("2023-12")
-    assert (first.isoformat()[:10], after.isoformat()[:10]) == ("2023-12-01", "2024-01-01")
+def test_ranges_of_months():
+    assert blocks.month_range("2023-12") == ("2023-12-01 00:00:00", "2024-01-01 00:00:00")
+    assert blocks.month_range("9999-12") == ("9999-12-01 00:00:00", None)
+    assert [blocks.month_range(p) for p in ("", "2023-13", "0000-01", "+10000-01", "x")] == [None] * 5
 
 
-def test_month_ranges_join_and_fold(monkeypatch):
-    def spans(*periods):
-        return [tuple(t.isoformat()[:7] for t in r) for r in blocks.month_ranges(periods)]
+def test_open_end_dates_and_many_separate_months(sales):
+    rows = sales((1, "9999-12", 1), (2, "2023-01", 2)).withColumn(
+        "sale_ts", F.when(F.col("period") == "9999-12", F.lit("9999-12-31").cast("timestamp_ntz")).otherwise(F.col("sale_ts"))
+    )
+    for chosen in (["9999-12"], ["9999-12", "2023-01"]):
+        expected = rows_of(rows.where(F.col("period").isin(chosen)))
+        named = rows.where(F.col("period").isin(chosen)).select("period")
+        assert rows_of(blocks.fetch_blocks(rows, chosen, derived=True)) == expected
+        assert rows_of(blocks.fetch_named_blocks(rows, named, derived=True)) == expected
+    apart = [f"{1850 + i:04d}-{i % 6 * 2 + 1:02d}" for i in range(70)]
+    spread = sales(*((i, p, i) for i, p in enumerate(apart))).withColumn(
+        "sale_ts", F.concat("period", F.lit("-05")).cast("timestamp_ntz")
+    )
+    assert blocks.fetch_blocks(spread, apart, derived=True).count() == 70
+    assert blocks.fetch_blocks(spread, apart[:69], derived=True).count() == 69
 
-    assert spans("2023-12", "2023-05", "2023-11", "2024-01", "2023-05") == [
-        ("2023-05", "2023-06"), ("2023-11", "2024-02"),
-    ]
-    monkeypatch.setattr(blocks, "MOST_RANGES", 1)
-    assert spans("2023-05", "2023-11") == [("2023-05", "2023-12")]
+
+def test_more_blocks_than_any_list(spark, sales):
+    rows = spark.range(30_000).selectExpr("cast(id % 15000 as string) AS period", "id AS n")
+    some = spark.range(12_000).selectExpr("cast(id as string) AS period")
+    assert blocks.fetch_named_blocks(rows, some).count() == 24_000
+    assert blocks.keep_other_blocks(rows, some).count() == 6_000
+
+
+@pytest.mark.parametrize("scale", ["0.001", "0.01", "0.1"])
+def test_lookup_keys_are_unique(spark, scale):
+    for name, key in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("part", "p_partkey")):
+        table = spark.read.parquet(f"/root/testdata/sf{scale}/{name}.parquet")
+        row = table.agg(F.count("*").alias("n"), F.count_distinct(key).alias("keys")).first()
+        assert row.n == row["keys"]
 
 
 def test_derived_periods_give_the_same_rows(sales):
@@ -180,18 +203,15 @@ def test_derived_periods_give_the_same_rows(sales):
     assert blocks.fetch_blocks(rows, [], derived=True).count() == 0
 
 
-def test_long_lists_of_blocks_stay_distributed(sales, monkeypatch):
+def test_merge_by_join_equals_merge_by_list(sales):
     rows = sales(*((i, f"2023-{i:02d}", i) for i in range(1, 10)), (10, None, 10))
     chosen = rows.filter("sale_id > 5").select("period")
-    few = rows_of(blocks.fetch_chosen_blocks(rows, chosen))
     target = rows.filter("sale_id > 2").withColumn("amount", rows.amount)
-    merged = rows_of(blocks.merge_blocks(rows, target, chosen))
-    assert blocks.listed_blocks(chosen) is not None
-    monkeypatch.setattr(blocks, "LISTED_BLOCKS", 2)
-    assert blocks.listed_blocks(chosen) is None
-    assert rows_of(blocks.fetch_chosen_blocks(rows, chosen)) == few
-    assert rows_of(blocks.merge_blocks(rows, target, chosen)) == merged
-    assert blocks.fetch_chosen_blocks(rows, chosen.limit(0)) is None
+    names = [r.period for r in chosen.collect()]
+    listed = blocks.delete_blocks(target, names).unionByName(blocks.fetch_blocks(rows, names))
+    assert rows_of(blocks.merge_blocks(rows, target, chosen)) == rows_of(listed)
+    assert rows_of(blocks.fetch_named_blocks(rows, chosen)) == rows_of(rows.filter("sale_id > 5"))
+    assert blocks.fetch_named_blocks(rows, chosen.limit(0), derived=True).count() == 0
 
 
 def test_statistics(sales):

@@ -178,6 +178,47 @@ def test_reset_restores_the_source(table, generated):
         TableSync(generated, table()).reset(baseline=generated)
 
 
+def test_reset_keeps_the_source_whole(table, generated):
+    sync = TableSync(table(generated), table(generated))
+    sync.reset(baseline=sync.source.read())
+    assert rows_of(sync.source.read()) == rows_of(generated)
+    sync.synchronize()
+    with pytest.raises(Exception, match="unreadable"):
+        sync.reset(baseline=broken(generated, "2022-05"))
+    assert rows_of(sync.source.read()) == rows_of(sync.target.read()) == rows_of(generated)
+
+
+def test_results_tell_what_is_in_the_target(table, sales):
+    stored = sales((1, "2023-01", 1), (2, "2023-02", 2))
+    target = table()
+    plan = sync_plan(TableSync(stored, target).source_headers(), target.headers())
+    changed = sales((1, "2023-01", 1), (2, "2023-01", 2))  # after the plan, before the copy
+    results = {r.period: r for r in apply_plan(plan, changed, target).collect()}
+    assert results["2023-01"].failed and results["2023-02"].failed
+    assert [r.rows_inserted for r in results.values()] == [0, 0]
+    assert all(r.message.startswith("Error: ") for r in results.values())
+
+
+def test_the_whole_text_of_an_error_is_kept(table, sales):
+    rows = sales((1, "2023-01", 1), (2, "2023-02", 2))
+    boom = F.raise_error(F.lit("first line\nsecond line")).cast("decimal(18,2)")
+    bad = rows.withColumn("amount", F.when(F.col("period") == "2023-01", boom).otherwise(F.col("amount")))
+    target = table()
+    plan = sync_plan(TableSync(rows, target).source_headers(), target.headers())
+    results = {r.period: r for r in apply_plan(plan, bad, target, isolate=True).collect()}
+    assert "second line" in results["2023-01"].message
+    assert not results["2023-02"].failed and results["2023-02"].rows_inserted == 1
+
+
+def test_isolation_stops_at_once_when_the_source_is_down(table, sales):
+    rows = sales((1, "2023-01", 1), (2, "2023-02", 2))
+    down = rows.where(F.raise_error(F.lit("no connection")).cast("boolean"))
+    target = table()
+    plan = sync_plan(TableSync(rows, target).source_headers(), target.headers())
+    with pytest.raises(Exception, match="no connection"):
+        apply_plan(plan, down, target, isolate=True)
+
+
 def test_diagnostics(table, generated):
     sync = TableSync(generated, table(generated.filter("period >= '2023'")))
     row = sync.diagnostics().first()
