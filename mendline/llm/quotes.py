@@ -74,7 +74,7 @@ def _key(text: Column) -> Column:
 
 def reply_order(messages: DataFrame) -> DataFrame:
     """Messages without quotes, with what they answer, in the order of replies."""
-    cut = stored(_blocks(stored(_parsed(messages), "quoted-lines")), "quoted-blocks")  # else each use would parse anew
+    cut = stored(_blocks(_parsed(messages)), "quoted-blocks")  # else each use would parse anew
     quoted = lambda x: x["level"] > 0
     each = cut.select("conv_id", "turn", F.explode("blocks").alias("block")).select("conv_id", "turn", "block.*")
     quotes = each.where("level > 0").distinct()
