@@ -57,5 +57,53 @@ SELECT n.conv_id, n.turn, n.role, b.body, coalesce(c.n_quotes, 0)::BIGINT AS n_q
 FROM numbered n JOIN bodies b USING (nr) LEFT JOIN counts c USING (nr)
 LEFT JOIN answers a ON a.conv_id = n.conv_id AND a.turn = n.turn
 LEFT JOIN roots r ON r.conv_id = n.conv_id AND r.turn = n.turn
+""",
+    "op2_suffix_decontamination": r"""
+WITH items AS (
+    SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark),
+sized AS (SELECT item, w, least(10, len(w)) AS n FROM items WHERE len(w) > 0),
+windows AS (
+    SELECT DISTINCT item, n,
+           unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS words
+    FROM sized),
+sizes AS (SELECT DISTINCT n FROM windows),
+docs AS (
+    SELECT row_number() OVER () AS nr, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+places AS (
+    SELECT nr, n, unnest(range(1, len(w) - n + 2)) AS place,
+           unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS words
+    FROM docs, sizes WHERE len(w) >= n),
+hits AS (SELECT p.nr, p.place, p.n, w.item FROM places p JOIN windows w ON p.n = w.n AND p.words = w.words),
+covered AS (
+    SELECT nr, count(DISTINCT word) AS n_hit
+    FROM (SELECT nr, unnest(range(place, place + n)) AS word FROM (SELECT DISTINCT nr, place, n FROM hits)) GROUP BY nr),
+named AS (
+    SELECT nr, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+    FROM (SELECT DISTINCT nr, item FROM hits) GROUP BY nr)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (nr) LEFT JOIN named USING (nr)
+""",
+    "op6_capture_index": """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+marked AS (
+    SELECT page_id, payload, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS first FROM payloads),
+parts AS (  -- five hex digits are four digits of base 32
+    SELECT *, list_transform(range(8), lambda g: CAST('0x' || substr(hex, g * 5 + 1, 5) AS INTEGER)) AS twenty FROM marked)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(twenty, lambda v:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 15) + 1, 1)
+           || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 10) & 31) + 1, 1)
+           || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 5) & 31) + 1, 1)
+           || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM parts
 """,
 }

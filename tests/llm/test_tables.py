@@ -61,6 +61,16 @@ def test_made_up_quotes(spark):
     assert quotes.reply_order(long).first().n_quotes == 5000
 
 
+@pytest.mark.parametrize("name,table", [("op2_suffix_decontamination", "documents benchmark"), ("op6_capture_index", "pages")])
+def test_sql_of_whole_tables(spark, name, table):
+    connection = duckdb.connect()
+    for one in table.split():
+        connection.execute(f"CREATE VIEW {one} AS SELECT * FROM '{SF}/{one}.parquet'")
+    result, df = connection.execute(ORACLE[name]), QUERIES[name](spark, SF)
+    assert [c[0] for c in result.description] == df.columns
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, result.fetchall()))
+
+
 def plain_captures(rows):
     first = {}
     for r in rows:
