@@ -34,7 +34,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def _parsed(messages: DataFrame) -> DataFrame:
     """Adds ``lines``: level and rest of each line."""
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
-    mark = lambda line: F.regexp_extract(line, "^[ \t]*((>[ \t]*)*)", 0)
+    mark = lambda line: F.regexp_extract(line, "^[> \t]*", 0)
     line = lambda x: F.struct(
         F.length(F.regexp_replace(mark(x), "[^>]", "")).alias("level"),
         F.when(F.contains(mark(x), F.lit(">")), F.substr(x, F.length(mark(x)) + 1)).otherwise(x).alias("rest"),
