@@ -15,7 +15,8 @@ broadcast and searched in a pass of its own, so its size has a fixed bound.
 
 Distances are Euclidean in double precision on the original vectors; ties go to the smaller id. Vectors that
 are NULL, empty, zero, or hold NULL or non-finite components take no part, nor do rows without id; vectors of another length than the query's are no
-candidates. Of repeated query rows one counts; repeated candidate rows are candidates each. Equal vectors end in one leaf.
+candidates. Of repeated query rows one counts; repeated candidate rows are candidates each. Equal vectors end in one leaf,
+which is searched in pieces of ``PAIRS`` pairs.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ from .store import stored
 SHARD = 20_000
 LEAF = 128
 QUERY_BLOCK = 20_000
+#: Levels of a tree; where distances are so tied that halving fails, what is left then is one leaf.
+MOST_DEPTH = 48
+#: Numbers, and pairs of a query and a candidate, that are held at once.
+NUMBERS = 1 << 18
+PAIRS = 1 << 20
 _OUT = "query_id bigint, vec_id bigint, score double"
 
 
@@ -73,9 +79,13 @@ def _stacked(block: dict[int, list[float]]) -> dict[int, tuple[np.ndarray, np.nd
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of every row of ``a`` to every row of ``b``, by the definition."""
     out = np.empty((len(a), len(b)))
-    for at in range(0, len(a), 32):
-        step = a[at : at + 32, None, :] - b[None, :, :]
-        out[at : at + 32] = np.sqrt(np.square(step, out=step).sum(2))
+    most = max(1, NUMBERS // a.shape[1])
+    wide = max(1, min(len(b), most))
+    high = max(1, most // wide)
+    for i in range(0, len(a), high):
+        for j in range(0, len(b), wide):
+            step = a[i : i + high, None, :] - b[None, j : j + wide, :]
+            out[i : i + high, j : j + wide] = np.sqrt(np.square(step, out=step).sum(2))
     return out
 
 
@@ -86,8 +96,8 @@ class Tree:
         self.ids, self.vectors = ids, vectors
         self.root = self._build(np.arange(len(ids)))
 
-    def _build(self, rows: np.ndarray):
-        if len(rows) <= LEAF:
+    def _build(self, rows: np.ndarray, depth: int = 0):
+        if len(rows) <= LEAF or depth == MOST_DEPTH:
             return rows
         vantage, others = rows[:1], rows[1:]
         away = distances(self.vectors[vantage], self.vectors[others])[0]
@@ -97,7 +107,8 @@ class Tree:
             inside = away <= middle
             if inside.all():
                 return rows
-        return vantage, middle, self._build(others[inside]), self._build(others[~inside]), away[inside].max(), away[~inside].min()
+        parts = (self._build(others[side], depth + 1) for side in (inside, ~inside))
+        return vantage, middle, *parts, away[inside].max(), away[~inside].min()
 
 
 class Best:
@@ -129,7 +140,10 @@ class Best:
         if not len(own):
             return
         if isinstance(node, np.ndarray):
-            self.offer(own, tree.ids[node], distances(self.vectors[own], tree.vectors[node]))
+            step = max(1, PAIRS // len(node))
+            for at in range(0, len(own), step):
+                some = own[at : at + step]
+                self.offer(some, tree.ids[node], distances(self.vectors[some], tree.vectors[node]))
             return
         vantage, middle, inside, outside, inner_most, outer_least = node
         away = distances(self.vectors[own], tree.vectors[vantage])
