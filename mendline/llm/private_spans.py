@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
@@ -55,7 +56,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _AT = re.compile(r" ?[\[(] ?(?:at|AT) ?[\])] ?")
-_SPELLED = re.compile(r"[A-Za-z0-9-]++(?: ?(?:[\[(] ?(?:dot|DOT) ?[\])]|\.) ?[A-Za-z0-9-]++)++")
+_SPELLED = re.compile(r"[A-Za-z0-9-]++(?:(?: ?[\[(] ?(?:dot|DOT) ?[\])] ?|\.)[A-Za-z0-9-]++)++")
 _LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])")
 _IP6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 
@@ -120,7 +121,7 @@ def votes(text: str, kind: int, start: int, end: int, strict: bool) -> str:
     name, span = KINDS[kind], text[start:end]
     digits = "".join(c for c in span if c.isdigit())
     if kind == 0:
-        known = span.rpartition(".")[2].lower() in TOP_LEVEL or span.split()[-1].lower() in TOP_LEVEL
+        known = re.split("[^A-Za-z0-9-]+", span)[-1].lower() in TOP_LEVEL
         made = any(map(str.isalpha, span[:2]))
     elif kind == 1:
         known = ":" in span or 0 < int(span.split(".")[0].lstrip("0") or 0) < 224
@@ -146,11 +147,19 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, str]]:
     """``(kind, start, end, strict, votes)`` of all base spans and of loose ones clear of them."""
     base = base_spans(text)
     found = [(k, a, b, True, votes(text, k, a, b, True)) for k, a, b in base]
-    taken = sorted((a, b) for _, a, b in base)
     if loose := loose_spans(text):
+        starts, ends = [], []  # of base spans, joined where they overlap
+        for a, b in sorted((a, b) for _, a, b in base):
+            if ends and a < ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a)
+                ends.append(b)
+        floor = 0
         for k, a, b in sorted(loose, key=lambda x: (x[1], -x[2], x[0])):
-            if all(b <= c or d <= a for c, d in taken):
-                taken.append((a, b))
+            before = bisect_left(starts, b)
+            if a >= floor and (not before or ends[before - 1] <= a):
+                floor = b
                 found.append((k, a, b, False, votes(text, k, a, b, False)))
     return found
 
