@@ -196,11 +196,14 @@ class _Grams:
         order = np.argsort(keys, kind="stable")
         return keys[order], order
 
-    def parts(self, kind: int, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys in order, the order, and where each slot's share starts."""
+    def parts(self, kind: int, slots: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Keys in order, the order, and the slots that have a share, with its start and end."""
         keys, order = (self.word_keys, self.word_order) if kind == 1 else (self.pair_keys, self.pair_order)
         slot = ((keys >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
-        return keys, order, np.searchsorted(slot, np.arange(slots + 1).astype(np.uint64))
+        first = np.ones(len(slot), dtype=bool)
+        first[1:] = slot[1:] != slot[:-1]
+        start = np.flatnonzero(first)
+        return keys, order, list(zip(slot[start].tolist(), start.tolist(), [*start[1:].tolist(), len(slot)]))
 
     def answers(self, row: dict, which: str) -> tuple[np.ndarray, np.ndarray]:
         """Counts of the unigrams by token number, and of the bigrams by pair number."""
@@ -230,13 +233,11 @@ def _ask(rows: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]
             weight = np.array(row["train"], dtype=bool)[grams.text]
             for kind, number, n in ((1, grams.token, grams.width), (2, grams.pair_of, len(grams.pair_keys))):
                 counts = np.bincount(number[weight], minlength=n)
-                keys, order, cut = grams.parts(kind, slots)
+                keys, order, shares = grams.parts(kind, slots)
                 counts, out = counts[order], []
-                for slot in range(slots):
-                    if cut[slot] < cut[slot + 1]:
-                        own = keys[cut[slot] : cut[slot + 1]]
-                        data, width = _narrow(own)
-                        out.append((slot, row["batch"], row["tune"], kind, data, width, _small(counts[cut[slot] : cut[slot + 1]]), len(own)))
+                for slot, start, end in shares:
+                    data, width = _narrow(keys[start:end])
+                    out.append((slot, row["batch"], row["tune"], kind, data, width, _small(counts[start:end]), end - start))
                 for at in range(0, len(out), 64):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(x, t) for x, t in zip(zip(*out[at : at + 64]), _REQUEST_TYPES)], names=_REQUEST_NAMES
