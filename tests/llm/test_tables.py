@@ -59,6 +59,8 @@ def test_made_up_quotes(spark):
     assert quotes.reply_order(df.limit(0)).count() == 0
     long = spark.createDataFrame([(1, 1, "u", "> a b c\nfoo\n\n" * 5000)], df.schema)
     assert quotes.reply_order(long).first().n_quotes == 5000
+    deep = spark.createDataFrame([(1, 1, "u", "> " * 50_000 + "a")], df.schema)
+    assert quotes.reply_order(deep).first().max_level == 50_000
 
 
 @pytest.mark.parametrize("name,table", [("op2_suffix_decontamination", "documents benchmark"), ("op6_capture_index", "pages")])
@@ -129,6 +131,21 @@ def test_nearest(monkeypatch, spark, shard, leaf):
     assert vantage.nearest(df.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def test_tied_distances(monkeypatch):
+    """Pairs of equal unit vectors, all others equally far: no split halves them, and leaves stay large."""
+    monkeypatch.setattr(vantage, "LEAF", 2)
+    monkeypatch.setattr(vantage, "PAIRS", 500)
+    vectors = np.repeat(np.eye(300), 2, axis=0)
+    vectors = np.concatenate([vectors, np.tile(vectors[:1], (400, 1))])
+    ids = np.arange(len(vectors))
+    best = vantage.Best(ids[::7], vectors[::7], 5)
+    best.search(vantage.Tree(ids, vectors), 1.0)
+    away = np.sqrt(np.square(vectors[::7, None] - vectors[None]).sum(2))
+    away[np.arange(len(away)), ids[::7]] = np.inf
+    expected = np.lexsort((np.broadcast_to(ids, away.shape), away), axis=-1)[:, :5]
+    assert (best.ids == expected).all()
+
+
 def test_recall_of_a_relaxed_search(spark):
     df = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/embeddings.parquet")
     found = {f: {(r.query_id, r.vec_id) for r in vantage.nearest(df, F.col("vec_id") % 100 == 0, factor=f).collect()} for f in (1.0, 3.0)}

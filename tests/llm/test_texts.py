@@ -145,6 +145,10 @@ def test_base_spans():
         assert sorted(private_spans.base_spans(text)) == sorted(brute_spans(text))
     for part in ("a", "1", "1.", "@", "+1", "a@", "1 ", "(at)", "a:", "0", "(123"):
         private_spans.candidates(part * 100_000)
+    assert len(private_spans.candidates("555-555-1234, 1.2.3.4 " * 50_000)) == 100_000
+    for text in ("bob [at] mail.example.com. Please", "bob (at) mail [dot] example.com , x", "to bob [at] b. Then"):
+        for _, a, b in private_spans.loose_spans(text):
+            assert text[a:b].startswith("bob") and text[a:b].endswith("com")
 
 
 def test_spans_of_tables(spark, docs, odd):
