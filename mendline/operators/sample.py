@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,19 +26,19 @@ def sample_rows(
     """Up to ``count`` whole rows without replacement, the same for any partitioning.
 
     Two top-k passes, in which every task keeps at most ``count`` rows. The first reads
-    only keys and periods (from ``keys`` where that is cheaper to compute); the second
-    joins whole rows with the chosen keys. Keys may repeat or be NULL: rows with equal
-    keys are ordered by all their columns, and NULL equals NULL. Nothing is collected.
+    only keys and then the periods they occur in (from ``keys`` where that is cheaper to compute); the
+    second joins whole rows with both. Keys may repeat or be NULL: rows with equal
+    keys are ordered by all their columns, whatever their period, and NULL equals NULL. Nothing is collected.
     """
     narrow = sales if keys is None else keys
     by_mark = (seeded_mark(seed, key), *key)
-    chosen = narrow.select(F.coalesce("period", F.lit("")).alias("block"), *key)
-    chosen = chosen.orderBy(*by_mark).limit(count).distinct()
-    chosen = chosen.select("block", *(F.col(name).alias(f"_{name}") for name in key))
-    same = F.coalesce("period", F.lit("")) == F.col("block")
-    for name in key:
-        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
-    rows = sales.join(chosen, same, "left_semi")
+    marked = [F.col(name).alias(f"_{name}") for name in key]
+    first = narrow.select(*key).orderBy(*by_mark).limit(count).distinct().select(*marked)
+    equal = reduce(and_, (F.col(name).eqNullSafe(F.col(f"_{name}")) for name in key))
+    block = F.coalesce("period", F.lit(""))
+    chosen = narrow.select("period", *key).join(first, equal, "left_semi")
+    chosen = chosen.select(block.alias("block"), *marked).distinct()
+    rows = sales.join(chosen, equal & (block == F.col("block")), "left_semi")
     return rows.orderBy(*by_mark, *(c for c in sorted(sales.columns) if c not in key)).limit(count)
 
 

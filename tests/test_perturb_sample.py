@@ -73,6 +73,11 @@ def test_sample_of_null_and_repeated_keys(sales):
     assert rows_of(sample_rows(rows, 10)) == rows_of(rows)
     many = sales(*((i % 7, "2023-01", i) for i in range(200)))
     assert len({tuple(rows_of(sample_rows(many.repartition(n), 10))) for n in (1, 3, 8)}) == 1
+    scattered = sales(*((i % 7, f"2023-{9 - i % 9:02d}", i) for i in range(200)))
+    found = [rows_of(sample_rows(scattered.repartition(n), 10)) for n in (1, 3, 8)]
+    key = min((r.sale_id for r in scattered.collect()), key=lambda i: hashlib.md5(f"7|{i}".encode()).hexdigest())
+    least = scattered.where(F.col("sale_id") == key).orderBy("amount").limit(10)
+    assert found == [rows_of(least)] * 3
 
 
 def test_generated_sales_do_not_depend_on_partitions(spark):
