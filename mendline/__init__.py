@@ -2,7 +2,9 @@
 
 from .plans.sync import TableSync
 from .schema import SALES, sales_schema
+from .scratch import clear_scratch
 from .sources.header_log import HeaderLog
+from .sources.result_log import ResultLog
 from .sources.table import BlockTable
 
-__all__ = ["SALES", "BlockTable", "HeaderLog", "TableSync", "sales_schema"]
+__all__ = ["SALES", "BlockTable", "HeaderLog", "ResultLog", "TableSync", "clear_scratch", "sales_schema"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.texts import report_line
+from ..functions.texts import report_line, thousands
 from ..schema import INSERT, REPAIR, SKIP
 
 
@@ -28,6 +28,26 @@ def sync_report(results: DataFrame) -> DataFrame:
     )
 
 
+#: Head lines of the report: what a counter is called there.
+HEAD = {
+    "total_blocks": "blocks compared",
+    "skipped": "unchanged",
+    "inserted": "new",
+    "repaired": "replaced",
+    "rows_processed": "rows looked at",
+    "rows_inserted": "rows copied",
+}
+
+
+def report_head(results: DataFrame) -> DataFrame:
+    """The counters as text with grouped thousands: ``line_no, line``."""
+    lines = (
+        F.struct(F.lit(i).alias("line_no"), F.concat(F.lit(f"{says}: "), thousands(F.col(name))).alias("line"))
+        for i, (name, says) in enumerate(HEAD.items(), 1)
+    )
+    return sync_report(results).select(F.inline(F.array(*lines)))
+
+
 def report_lines(results: DataFrame) -> DataFrame:
     """The report as text, one line per block in order."""
     line = report_line(F.col("period"), F.col("action"), F.col("rows_processed"))

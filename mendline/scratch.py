@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _local_root: str | None = None
+#: The folder under the scratch root that this process writes to.
+_OWN = f"mendline-{uuid.uuid4().hex}"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -35,7 +37,16 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path under the scratch root that nothing has used before."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{_OWN}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this process has written to the scratch root, and nothing else.
+
+    For the end of a session: DataFrames that queries or syncs returned before may read it.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/{_OWN}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str, spark: SparkSession | None = None) -> DataFrame:

@@ -137,6 +137,18 @@ SELECT count(*) AS total_rows, count(DISTINCT period) AS total_blocks,
 FROM {table}"""
 
 
+STATISTICS = (
+    "total_rows total_blocks amount_total amount_avg amount_min amount_max first_date last_date "
+    "first_id last_id distinct_customers distinct_products"
+).split()
+
+
+def _top(table: str) -> str:
+    return f"""
+(SELECT string_agg(period || ':' || row_count || ':' || amount_sum || ':' || block_hash, ',' ORDER BY row_count DESC, period)
+ FROM (SELECT * FROM {table} ORDER BY row_count DESC, period LIMIT 10))"""
+
+
 def _info(side: str, table: str) -> str:
     return f"""
 SELECT '{side}' AS side, CAST(sum(row_count) AS BIGINT) AS rows, count(*) AS blocks,
@@ -226,6 +238,16 @@ SELECT count(*) AS total_blocks, count(*) FILTER (action = 'SKIP') AS skipped,
        CAST(sum(rows_processed) AS BIGINT) AS rows_processed,
        CAST(sum(rows_inserted) AS BIGINT) AS rows_inserted
 FROM results""",
+    ),
+    "report_head": _with(
+        S, T, HS, HT, PLAN, RESULTS,
+        select="""
+SELECT 1 AS line_no, 'blocks compared: ' || format('{:,}', count(*)) AS line FROM results
+UNION ALL SELECT 2, 'unchanged: ' || format('{:,}', count(*) FILTER (action = 'SKIP')) FROM results
+UNION ALL SELECT 3, 'new: ' || format('{:,}', count(*) FILTER (action = 'INSERT')) FROM results
+UNION ALL SELECT 4, 'replaced: ' || format('{:,}', count(*) FILTER (action = 'REPAIR')) FROM results
+UNION ALL SELECT 5, 'rows looked at: ' || format('{:,}', CAST(sum(rows_processed) AS BIGINT)) FROM results
+UNION ALL SELECT 6, 'rows copied: ' || format('{:,}', CAST(sum(rows_inserted) AS BIGINT)) FROM results""",
     ),
     "report_lines": _with(
         S, T, HS, HT, PLAN, RESULTS,
@@ -252,6 +274,21 @@ FROM results""",
     ),
     "sync_apply": _with(S, T, HS, HT, PLAN, SYNCED, select=f"SELECT {COLUMNS} FROM synced"),
     "sync_results": _with(S, T, HS, HT, PLAN, RESULTS, select="SELECT * FROM results"),
+    "sync_history": _with(
+        S, T, HS, HT, PLAN, RESULTS,
+        select="""
+SELECT CAST(1 AS BIGINT) AS run, * FROM results
+UNION ALL
+SELECT CAST(2 AS BIGINT), period, 'SKIP', source_hash, source_hash, rows_processed, 0, 'unchanged', false FROM results""",
+    ),
+    "repair_delta": _with(
+        S, T, HS, HT, PLAN,
+        select=f"""
+SELECT {COLUMNS}, CAST(sum(side) AS BIGINT) AS copies
+FROM (SELECT {COLUMNS}, 1 AS side FROM S UNION ALL SELECT {COLUMNS}, -1 AS side FROM T)
+WHERE period IN (SELECT period FROM plan WHERE action = 'REPAIR')
+GROUP BY {COLUMNS} HAVING sum(side) <> 0""",
+    ),
     "sync_merge": _with(S, T, HS, HT, PLAN, SYNCED, select=f"SELECT {COLUMNS} FROM synced"),
     "resync_plan": _with(
         S, T, HS, HT, PLAN, SYNCED, _headers("HN", "synced"), _plan("HS", "HN", "again"),
@@ -342,6 +379,24 @@ SELECT 'target' AS side, * FROM (SELECT * FROM HT ORDER BY row_count DESC, perio
         "B AS (" + _statistics("T") + ")",
         select="SELECT 'source' AS side, * FROM A UNION ALL SELECT 'target' AS side, * FROM B",
     ),
+    "diagnostics_document": _with(
+        S, T, HS, HT,
+        "A AS (" + _statistics("S") + ")",
+        "B AS (" + _statistics("T") + ")",
+        """
+picked AS (
+  SELECT * FROM S ORDER BY md5('7|' || CAST(S.sale_id AS VARCHAR)), S.sale_id, amount, customer,
+         line_no, period, product, sale_ts LIMIT 10
+)""",
+        select="SELECT " + ", ".join(f"{t}.{c} AS {side}_{c}" for t, side in (("A", "source"), ("B", "target")) for c in STATISTICS)
+        + f""", {_top("HS")} AS source_top, {_top("HT")} AS target_top,
+(SELECT string_agg(sale_id || ':' || customer || ':' || product || ':' || amount || ':' || period, ','
+                   ORDER BY CAST(sale_id AS VARCHAR), sale_ts, customer, product, amount) FROM picked) AS sample,
+'Source holds ' || format('{{:,}}', A.total_rows) || ' rows in ' || A.total_blocks || ' blocks, target holds ' ||
+format('{{:,}}', B.total_rows) || ' rows; source has ' || format('{{:,}}', A.distinct_customers) ||
+' distinct customers and ' || format('{{:,}}', A.distinct_products) || ' distinct products.' AS summary
+FROM A, B""",
+    ),
     "sample_records": _with(
         K,
         select="""

@@ -8,11 +8,13 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import periods, texts
-from ..operators import blocks, headers, sample, stats
+from ..operators import blocks, delta, headers, sample, stats
 from ..plans import apply, compare, plan, report, status
 from ..plans import diagnostics as diagnosis
 from ..plans.sync import TableSync
+from ..schema import REPAIR
 from ..scratch import materialise, scratch_path
+from ..sources.result_log import ResultLog
 from ..sources.table import BlockTable
 from . import retail
 
@@ -173,6 +175,11 @@ def sync_report(spark, sf_dir):
     return report.sync_report(plan.block_results(plan.sync_plan(*_headers(spark, sf_dir))))
 
 
+@query
+def report_head(spark, sf_dir):
+    return report.report_head(plan.block_results(plan.sync_plan(*_headers(spark, sf_dir))))
+
+
 @query
 def report_lines(spark, sf_dir):
     return report.report_lines(plan.block_results(plan.sync_plan(*_headers(spark, sf_dir))))
@@ -199,6 +206,26 @@ def sync_results(spark, sf_dir):
     return _sync(spark, sf_dir).synchronize()
 
 
+@query
+def sync_history(spark, sf_dir):
+    """The recorded results of a sync and of the one after it."""
+    sync, log = _sync(spark, sf_dir), ResultLog(spark, scratch_path(spark, "history"))
+    for run in (1, 2):
+        log.record(run, sync.synchronize())
+    return log.read()
+
+
+@query
+def repair_delta(spark, sf_dir):
+    """The rows that make the differing blocks differ."""
+    actions = plan.sync_plan(*_headers(spark, sf_dir))
+    differing = materialise(actions.where(F.col("action") == REPAIR).select("period"), "differing")
+    source, target = retail.source_sales(spark, sf_dir), retail.target_sales(spark, sf_dir)
+    return delta.block_delta(
+        blocks.fetch_named_blocks(source, differing, derived=True), blocks.fetch_named_blocks(target, differing)
+    )
+
+
 @query
 def sync_merge(spark, sf_dir):
     changed = materialise(plan.changed_blocks(plan.sync_plan(*_headers(spark, sf_dir))), "changed")
@@ -352,6 +379,26 @@ def diagnostics(spark, sf_dir):
     return _both_statistics(spark, sf_dir)
 
 
+@query
+def diagnostics_document(spark, sf_dir):
+    """The whole document, with its lists as texts."""
+    listed = lambda name, *fields: F.array_join(
+        F.transform(name, lambda x: F.concat_ws(":", *(x[f].cast("string") for f in fields))), ","
+    )
+    whole = _sync(spark, sf_dir).diagnostics().withColumn("sample", F.array_sort("sample"))
+    sides = (
+        F.col(f"{side}.{name}").alias(f"{side}_{name}")
+        for side in ("source", "target")
+        for name in whole.schema[side].dataType.names
+    )
+    return whole.select(
+        *sides,
+        *(listed(f"{side}_top", "period", "row_count", "amount_sum", "block_hash").alias(f"{side}_top") for side in ("source", "target")),
+        listed("sample", "sale_id", "customer", "product", "amount", "period").alias("sample"),
+        "summary",
+    )
+
+
 @query
 def sample_records(spark, sf_dir):
     keys = retail.order_sales(spark, sf_dir, "sale_id", "period")

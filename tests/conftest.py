@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from mendline import SALES, BlockTable  # noqa: E402
+from mendline import SALES, BlockTable, clear_scratch  # noqa: E402
 from mendline.scratch import CHECKPOINT_DIR  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
@@ -34,6 +34,7 @@ def spark(tmp_path_factory):
     if not session.conf.get(CHECKPOINT_DIR, None):
         session.conf.set(CHECKPOINT_DIR, str(tmp_path_factory.mktemp("scratch")))
     yield session
+    clear_scratch(session)
     session.stop()
 
 

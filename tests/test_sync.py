@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from mendline import BlockTable, HeaderLog, TableSync, sales_schema
+from mendline import BlockTable, HeaderLog, ResultLog, TableSync, clear_scratch, sales_schema, scratch
+from mendline.operators.delta import apply_delta, block_delta
 from mendline.plans.apply import apply_plan
 from mendline.plans.plan import sync_plan
 from mendline.sources.header_log import file_marks
@@ -313,3 +314,38 @@ def test_keep_layout_writes_without_a_shuffle(spark, table, generated):
 def test_table_reads_what_it_wrote(spark, table, generated):
     made = table(generated)
     assert rows_of(BlockTable(spark, made.path + "/").read()) == rows_of(generated)
+
+
+def test_delta_makes_the_block_equal(sales):
+    source = sales((1, "2023-01", 1), (1, "2023-01", 1), (2, "2023-01", 2, None), (3, "2023-01", 3))
+    target = sales((1, "2023-01", 1), (2, "2023-01", 2, None), (3, "2023-01", 4), (3, "2023-01", 4), (5, "2023-01", 5))
+    found = block_delta(source, target)
+    assert sorted((r.sale_id, float(r.amount), r.copies) for r in found.collect()) == [
+        (1, 1.0, 1), (3, 3.0, 1), (3, 4.0, -2), (5, 5.0, -1),
+    ]
+    assert rows_of(apply_delta(target, found)) == rows_of(source)
+    assert block_delta(source, source).isEmpty() and block_delta(sales(), sales()).isEmpty()
+    assert rows_of(apply_delta(sales(), block_delta(source, sales()))) == rows_of(source)
+
+
+def test_result_log(spark, table, sales, tmp_path):
+    source, log = table(sales((1, "2023-01", 1), (2, "2023-02", 2))), ResultLog(spark, str(tmp_path / "log"))
+    sync = TableSync(source, table())
+    for run in (7, 8):
+        log.record(run, sync.synchronize())
+    source.append(sales((3, "2023-02", 3)))
+    log.record(10, sync.synchronize())
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        log.record(10, sync.synchronize())
+    assert log.read().groupBy("run").count().count() == 3
+    assert sorted(map(tuple, log.last_copies().collect())) == [("2023-01", 7, 1), ("2023-02", 10, 2)]
+
+
+def test_scratch_is_cleared(monkeypatch, spark, tmp_path):
+    monkeypatch.setattr(scratch, "scratch_root", lambda spark: str(tmp_path))
+    (tmp_path / "other").mkdir()
+    for _ in range(2):
+        assert scratch.materialise(spark.range(3), "some").count() == 3
+        clear_scratch(spark)
+        assert [p.name for p in tmp_path.iterdir()] == ["other"]
+    clear_scratch(spark)
