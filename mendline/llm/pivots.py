@@ -58,19 +58,25 @@ def _fingerprints(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(bits.view(np.int64))], names=["row", "bits"])
 
 
-def simhash(texts: pa.Array) -> np.ndarray:
-    """The fingerprints of an Arrow column of texts, unsigned."""
+def shingle_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of ``size`` words of an Arrow column, text by text, and how many each text has."""
     words = Words(*utf8(texts), NOT_SPACE)
     n_words = np.diff(words.first)
-    n = np.where(n_words > 0, np.maximum(n_words - SHINGLE + 1, 1), 0)
+    n = np.where(n_words > 0, np.maximum(n_words - size + 1, 1), 0)
     joined, start, end = words.spaced()
     text = np.repeat(np.arange(len(texts)), n)
     ends = np.cumsum(n)
     head = words.first[:-1][text] + np.arange(len(text)) - (ends - n)[text]
-    tail = np.minimum(head + SHINGLE, words.first[1:][text]) - 1
+    tail = np.minimum(head + size, words.first[1:][text]) - 1
     data = joined.tobytes()
     cut = map(data.__getitem__, map(slice, start[head].tolist(), end[tail].tolist()))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(SEED)), np.uint64, len(text))
+    return np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(SEED)), np.uint64, len(text)), n
+
+
+def simhash(texts: pa.Array) -> np.ndarray:
+    """The fingerprints of an Arrow column of texts, unsigned."""
+    hashes, n = shingle_hashes(texts, SHINGLE)
+    ends = np.cumsum(n)
     out = np.zeros(len(texts), dtype=np.uint64)
     filled = np.flatnonzero(n)
     if len(filled):
@@ -201,8 +207,13 @@ def deduplicate(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     prints = stored(fingerprints(numbered, numbered.columns), "fingerprints")  # fixes the numbers
     own = F.struct(F.col(f"row.{key}").isNull().alias("none"), F.col(f"row.{key}").alias("id"), F.col("row.__nr").alias("nr"))
     classes = stored(prints.groupBy("bits").agg(F.min(own).alias("least")), "classes")
-    roots = components(links(classes.select("bits")))
+    return least_rows(prints, classes, links(classes.select("bits")), docs.columns)
+
+
+def least_rows(prints: DataFrame, classes: DataFrame, linked: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The columns ``names`` of the row ``least`` of each component of ``classes`` (``bits, least``) under links ``a, b``."""
+    roots = components(linked)
     held = classes.join(roots.withColumnRenamed("node", "bits"), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
     stay = held.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.nr").alias("nr"))
     kept = prints.withColumn("nr", F.col("row.__nr")).join(stay, "nr", "left_semi")
-    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    return kept.select(*(F.col("row")[c].alias(c) for c in names))
