@@ -9,9 +9,9 @@ Rejection is by distance: similarity depends on how much text there is, so the t
 give for each power of two of trigrams the similarity that nearly all of them reach; a text that
 stays below ``SLACK`` of it is rejected.
 
-The classifier is fitted on the driver from a sample of about ``PER_LANGUAGE`` training texts per language,
-drawn by hash of the id with a probability that keeps the expected size fixed; that bound is the documented
-parameter. Prediction covers every text, whole, without a shuffle; what is broadcast is the
+The classifier is fitted on the driver from a sample of ``PER_LANGUAGE`` training texts per language (all, if there are
+fewer): those with the smallest hashes of id and text, so ids may be NULL or repeated, and repeated rows count once.
+That bound is the documented parameter, and holds for each task too. Prediction covers every text, whole, without a shuffle; what is broadcast is the
 centroids.
 
 Edge cases: NULL texts and texts without any letter are ``und`` with score 0 and rejected. With no
@@ -26,7 +26,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import LOWER, slices, utf8
@@ -43,6 +43,10 @@ _FOLD[: ord("a")] = np.where(np.isin(LOWER[: ord("a")], np.arange(97, 123)), LOW
 _FOLD[123:128] = 32
 
 
+#: Found in texts that have trigrams.
+_USABLE = r"[A-Za-z]|[^\x00-\x7F]"
+
+
 @dataclass
 class Model:
     langs: list[str]  # of each centroid
@@ -53,14 +57,15 @@ class Model:
 
 def fit(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """A model from texts and languages of the rows for which ``train`` holds."""
-    rows = docs.where(train).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = dict(rows.groupBy(lang).count().toLocalIterator())
-    if not sizes:
+    usable = F.col(text).rlike(_USABLE) & F.col(lang).isNotNull()
+    mark = F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit("centroids"))
+    rows = docs.where(train).where(usable).select(F.col(lang).alias("lang"), F.col(text).alias("text"), mark.alias("mark"))
+    last = _last_marks(rows.select("lang", "mark"), per_language)
+    if not last:
         return Model([], np.ones(DIMS), np.zeros((0, DIMS), np.float32), np.zeros(64))
-    share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))))
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("centroids")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    got = sample.mapInArrow(_features, "lang string, places binary, counts binary").toArrow().to_pylist()
+    limit = F.create_map(*(F.lit(x) for pair in last.items() for x in pair))
+    sample = rows.where(F.col("mark") <= limit[F.col("lang")]).mapInArrow(_features, "lang string, mark bigint, places binary, counts binary")
+    got = sample.groupBy("lang", "mark").agg(F.min("places").alias("places"), F.min("counts").alias("counts")).toArrow().to_pylist()
     got = [x for x in got if x["places"]]
     got.sort(key=lambda x: (x["lang"], x["places"], x["counts"]))
     grid = np.zeros((len(got), DIMS), dtype=np.float32)
@@ -81,6 +86,28 @@ def fit(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, text:
     return Model(langs, idf, centroids, _reach((unit @ centroids.T).max(1), _size(amount)))
 
 
+def _last_marks(rows: DataFrame, n: int) -> dict[str, int]:
+    """For each language (``lang``) the ``n``-th smallest distinct ``mark``, or the largest of fewer: first per task, then overall."""
+    kind = "lang string, mark bigint"
+    few = rows.mapInArrow(partial(_least_marks, n=n), kind).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
+    least = few.withColumn("place", place).where(F.col("place") <= n)
+    return dict(least.groupBy("lang").agg(F.max("mark")).toLocalIterator())
+
+
+def _least_marks(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    least: dict[str, np.ndarray] = {}
+    for batch in rows:
+        names = batch.column("lang").dictionary_encode()
+        number = names.indices.to_numpy(zero_copy_only=False)
+        marks = batch.column("mark").to_numpy(zero_copy_only=False)
+        for i, name in enumerate(names.dictionary.to_pylist()):
+            own = marks[number == i]
+            least[name] = np.unique(np.concatenate([least[name], own]) if name in least else own)[:n]
+    for name, marks in least.items():
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(marks), pa.string()), pa.array(marks)], names=["lang", "mark"])
+
+
 def predict(docs: DataFrame, model: Model, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``row`` (struct of ``carry``), ``lang_pred, score, rejected``."""
     texts = docs.select(F.struct(*carry).alias("row"), "text")
@@ -137,7 +164,8 @@ def _features(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place, count = np.unique(grams, return_counts=True)
             places.append(place.astype(np.uint16).tobytes())
             counts.append(count.astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(places), pa.array(counts)], names=["lang", "places", "counts"])
+        columns = [part.column("lang"), part.column("mark"), pa.array(places, pa.binary()), pa.array(counts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "mark", "places", "counts"])
 
 
 def has_letter(text: str) -> bool:

@@ -284,3 +284,15 @@ def test_fold_of_higher_order_functions(spark):
     df = spark.createDataFrame([(w,) for w in words], "w binary").withColumn("ids", byte_pairs.fold_column(F.col("w"), ranks))
     for r in df.withColumn("back", byte_pairs.decode_column(F.col("ids"), ranks)).collect():
         assert r.ids == (byte_pairs.merge(bytes(r.w), ranks) if r.w else []) and r.back == r.w
+
+
+@pytest.mark.parametrize("ids", ["CAST(NULL AS bigint)", "7"])
+def test_languages_of_rows_with_one_id(spark, ids):
+    """More texts than are sampled, all with the same id or none."""
+    texts = {"en": "the quick brown fox jumps over number", "de": "der schnelle braune Fuchs springt weit"}
+    rows = spark.createDataFrame([(f"{t} {i}x{'abcdefghij'[i % 10]}", k) for k, t in texts.items() for i in range(60)], "text string, lang string")
+    model = centroids.fit(rows.selectExpr(f"{ids} AS doc_id", "*").union(rows.selectExpr(f"{ids} AS doc_id", "*")), F.lit(True), per_language=20)
+    assert set(model.langs) == set(texts)
+    some = rows.selectExpr("lang", "xxhash64(text) AS mark")
+    last = centroids._last_marks(some.union(some), 20)
+    assert {k: sum(r.mark <= last[k] for r in some.collect() if r.lang == k) for k in texts} == {"en": 20, "de": 20}
