@@ -1,5 +1,7 @@
 """The same results in SQL, where SQL can express them over whole tables."""
 
+from .oracle_more import ORACLE as MORE
+
 ORACLE: dict[str, str] = {
     "op4_quotation_links": r"""
 WITH RECURSIVE numbered AS (
@@ -106,4 +108,4 @@ SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM parts
 """,
-}
+} | MORE

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from .byte_pairs import encode_texts
 from .captures import archive_and_read
 from .centroids import fit, predict
+from .collocations import collocations
 from .interpolation import score_texts
 from .pivots import near_duplicates
+from .prefix_trie import prefix_nodes, rebuilt
 from .private_spans import find_spans
 from .private_spans import fit as fit_spans
 from .quotes import reply_order
+from .repeated_lines import drop_repeated_lines
 from .store import remainder
 from .suffixes import match_items
 from .transducer import count_tokens
@@ -87,6 +90,23 @@ def op10_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the trie of the rebuilt conversations."""
+    return prefix_nodes(rebuilt(_table(spark, sf_dir, "conversations")))
+
+
+def op12_prefix_free_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 phrases of each language whose words go together most."""
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_twice_seen_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that five documents share, except where the largest id holds them."""
+    found = drop_repeated_lines(_table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    return found.select("row.doc_id", "n_lines", "n_dropped", kept)
+
+
 QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_suffix_decontamination": op2_suffix_decontamination,
@@ -98,4 +118,7 @@ QUERIES = {
     "op8_vantage_trees": op8_vantage_trees,
     "op9_transducer_counts": op9_transducer_counts,
     "op10_byte_pairs": op10_byte_pairs,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_prefix_free_phrases": op12_prefix_free_phrases,
+    "op13_twice_seen_lines": op13_twice_seen_lines,
 }
