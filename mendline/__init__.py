@@ -5,6 +5,7 @@ from .schema import SALES, sales_schema
 from .scratch import clear_scratch
 from .sources.header_log import HeaderLog
 from .sources.result_log import ResultLog
+from .sources.snapshot import CommitConflict, SnapshotTable
 from .sources.table import BlockTable
 
-__all__ = ["SALES", "BlockTable", "HeaderLog", "ResultLog", "TableSync", "clear_scratch", "sales_schema"]
+__all__ = ["SALES", "BlockTable", "CommitConflict", "HeaderLog", "ResultLog", "SnapshotTable", "TableSync", "clear_scratch", "sales_schema"]

@@ -12,6 +12,7 @@ from ..operators.blocks import fetch_blocks, fetch_named_blocks
 from ..operators.headers import block_headers
 from ..schema import SKIP
 from ..scratch import materialise
+from ..sources.snapshot import CommitConflict
 from ..sources.table import REBALANCE, BlockTable
 from .plan import block_results, changed_blocks
 
@@ -35,6 +36,8 @@ def _copy_isolated(
     """
     try:
         target.replace(fetch_blocks(source, periods, derived), layout)
+    except CommitConflict:
+        raise  # the plan is out of date, whatever the block
     except Exception as error:
         if source.sparkSession.sparkContext._jsc.sc().isStopped():
             raise
@@ -105,6 +108,8 @@ def apply_plan(
     failures: list[tuple[str, str]] = []
     try:
         target.replace(fetch_named_blocks(source, changed, derived), layout)
+    except CommitConflict:
+        raise
     except Exception:
         if not isolate or source.sparkSession.sparkContext._jsc.sc().isStopped():
             raise

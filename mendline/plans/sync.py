@@ -9,6 +9,7 @@ from ..operators.headers import block_headers, header_equality
 from ..operators.perturb import perturb_block
 from ..scratch import scratch_path
 from ..sources.header_log import HeaderLog
+from ..sources.snapshot import CommitConflict
 from ..sources.table import KEEP, REBALANCE, BlockTable
 from . import apply, compare, diagnostics, plan, report, status
 
@@ -58,16 +59,26 @@ class TableSync:
         """Per source block: INSERT, SKIP or REPAIR."""
         return plan.sync_plan(self.source_headers(), self.target_headers())
 
-    def synchronize(self, isolate: bool = False) -> DataFrame:
+    def synchronize(self, isolate: bool = False, attempts: int = 10) -> DataFrame:
         """Plan, copy the changed blocks, and return the block results.
 
         Rows of a source that is itself a table of blocks are written as they are
-        laid out there, without a shuffle.
+        laid out there, without a shuffle. A target with versions is planned for and written to as of one version: if
+        another sync has changed one of the blocks meanwhile, nothing of this one counts, and it
+        plans and copies anew, up to ``attempts`` times in all. Overlapping syncs thus end as if one had run after the other.
         """
+        for attempt in range(1, attempts + 1):
+            try:
+                return self.apply(self.target.pinned(), isolate)
+            except CommitConflict:
+                if attempt == attempts:
+                    raise
+
+    def apply(self, target: BlockTable, isolate: bool = False) -> DataFrame:
+        """One attempt of ``synchronize`` on a handle of the target."""
         layout = KEEP if isinstance(self.source, BlockTable) else REBALANCE
-        return apply.apply_plan(
-            self.plan(), self.source_rows(), self.target, layout, isolate, self.derived, self.digest
-        )
+        actions = plan.sync_plan(self.source_headers(), self._headers(target))
+        return apply.apply_plan(actions, self.source_rows(), target, layout, isolate, self.derived, self.digest)
 
     def report(self, results: DataFrame) -> DataFrame:
         """Counters over the block results."""
@@ -103,14 +114,18 @@ class TableSync:
 
         The baseline is first written to a scratch table of its own, so it may read the source, and
         one that fails leaves source and target as they are. The source is then replaced from
-        that copy and compared with it; the target is emptied last.
+        that copy, in one commit if it has versions, and else block by block without ever being emptied, and compared with
+        it; the target is emptied last. An error after the copy names where the copy is.
         """
         if baseline is not None:
             if not isinstance(self.source, BlockTable):
                 raise TypeError("only a table of blocks can be put back to a baseline")
             staged = BlockTable(self.source.spark, scratch_path(self.source.spark, "baseline"), self.source.schema)
             staged.append(baseline)
-            self.source.replace_all(staged.read())
+            try:
+                self.source.replace_all(staged.read())
+            except Exception as error:
+                raise RuntimeError(f"the source was not put back; its baseline is kept in {staged.path}") from error
             wrong = header_equality(staged.headers(), self.source.headers()).where("NOT same")
             if not wrong.isEmpty():
                 raise RuntimeError(f"the source differs from its baseline, which is kept in {staged.path}")

@@ -84,6 +84,8 @@ class HeaderLog:
 
     def headers(self, table: BlockTable, digest: str = "md5") -> DataFrame:
         """Headers of ``table``; reads only blocks whose files are new to the log."""
+        if not table.IN_PLACE:
+            raise TypeError("a table with versions has files under its path that are not its own now")
         before = file_marks(table)
         looked_up = materialise(
             before.join(self._known(), ["period", "files_mark"], "left"), "header-log"

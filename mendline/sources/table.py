@@ -22,6 +22,9 @@ class BlockTable:
     should not be used after it.
     """
 
+    #: Whether all files under the path make up the table.
+    IN_PLACE = True
+
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType = SALES):
         self.spark = spark
         self.path = path.rstrip("/")
@@ -92,10 +95,20 @@ class BlockTable:
             fs, path = self._fs_path(naming.getPartitionPathString("period", period))
             fs.delete(path, True)
 
+    def pinned(self) -> BlockTable:
+        """A handle for a plan and the writes that follow from it; here the table itself, which has no versions."""
+        return self
+
     def replace_all(self, rows: DataFrame) -> None:
-        """Put ``rows``, which must not read this table, in the place of everything."""
-        writer = self._writer(rows, REBALANCE).mode("overwrite")
-        writer.option("partitionOverwriteMode", "static").parquet(self.path)
+        """Put ``rows``, which must not read this table, in the place of everything.
+
+        The new blocks go first, staged as by ``replace``, and blocks without rows are removed
+        last: a write that fails leaves every row.
+        """
+        self.replace(rows)
+        named = lambda df: df.select(F.coalesce("period", F.lit("")).alias("period")).distinct()
+        stale = named(self.read()).join(named(rows), "period", "left_anti")
+        self.delete([row.period for row in stale.toLocalIterator()])
 
     def clear(self) -> None:
         """Remove all rows, keeping an empty table."""

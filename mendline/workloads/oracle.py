@@ -300,6 +300,24 @@ GROUP BY {COLUMNS} HAVING sum(side) <> 0""",
 SELECT period, 'INSERT' AS action, block_hash AS source_hash,
        CAST(NULL AS VARCHAR) AS target_hash_before, row_count FROM HS""",
     ),
+    "snapshot_reset": _with(
+        S, HS,
+        select="""
+SELECT period, 'INSERT' AS action, block_hash AS source_hash,
+       CAST(NULL AS VARCHAR) AS target_hash_before, row_count FROM HS""",
+    ),
+    "overlapping_syncs": _with(S, T, HS, HT, PLAN, SYNCED, select=f"SELECT {COLUMNS} FROM synced"),
+    "snapshot_sync": _with(
+        S, T, HS, HT, PLAN, SYNCED,
+        """versions AS (
+  SELECT 1 AS version, 'append' AS kind, period, amount FROM T
+  UNION ALL SELECT 2, 'replace', period, amount FROM synced
+  UNION ALL SELECT 4, 'restore', period, amount FROM synced)""",
+        select="""SELECT v.version::BIGINT AS version, v.kind, count(s.period) AS rows, count(DISTINCT s.period) AS blocks,
+  CAST(coalesce(sum(s.amount), 0) AS DECIMAL(28,2)) AS amount_sum
+FROM (VALUES (1, 'append'), (2, 'replace'), (3, 'clear'), (4, 'restore')) v(version, kind)
+LEFT JOIN versions s ON s.version = v.version GROUP BY v.version, v.kind""",
+    ),
     "failed_blocks": _with(
         S, T, HS, HT, PLAN, RESULTS,
         select="""

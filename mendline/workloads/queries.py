@@ -15,6 +15,7 @@ from ..plans.sync import TableSync
 from ..schema import REPAIR
 from ..scratch import materialise, scratch_path
 from ..sources.result_log import ResultLog
+from ..sources.snapshot import CommitConflict, SnapshotTable
 from ..sources.table import BlockTable
 from . import retail
 
@@ -252,6 +253,57 @@ def reset_then_plan(spark, sf_dir):
     return sync.plan()
 
 
+def versioned_target(spark: SparkSession, sf_dir: str) -> SnapshotTable:
+    """The target as a stored table with versions."""
+    table = SnapshotTable(spark, scratch_path(spark, "versions"))
+    table.append(retail.target_sales(spark, sf_dir))
+    return table
+
+
+@query
+def snapshot_sync(spark, sf_dir):
+    """Figures of each version of a target with versions: as stored, after a sync, cleared, and restored to the synchronised one."""
+    target = versioned_target(spark, sf_dir)
+    TableSync(retail.source_sales(spark, sf_dir), target, derived=True).synchronize()
+    target.clear()
+    target.restore(2)
+    figures = None
+    for made in target.history().collect():  # four versions
+        totals = headers.block_headers(target.read(made.version)).agg(
+            F.coalesce(F.sum("row_count"), F.lit(0)).alias("rows"), F.count("*").alias("blocks"),
+            F.coalesce(F.sum("amount_sum"), F.lit(0)).cast("decimal(28,2)").alias("amount_sum"),
+        )
+        one = totals.select(F.lit(made.version).cast("bigint").alias("version"), F.lit(made.kind).alias("kind"), "*")
+        figures = one if figures is None else figures.unionByName(one)
+    return figures
+
+
+@query
+def overlapping_syncs(spark, sf_dir):
+    """The target after two syncs that both planned before either had copied; the later one plans anew."""
+    target = versioned_target(spark, sf_dir)
+    late, early = (TableSync(retail.source_sales(spark, sf_dir), target, derived=True) for _ in range(2))
+    planned = target.pinned()
+    early.synchronize()
+    try:
+        late.apply(planned)
+    except CommitConflict:
+        late.synchronize()
+        return target.read()
+    raise AssertionError("two syncs have copied the same blocks")
+
+
+@query
+def snapshot_reset(spark, sf_dir):
+    """A source with versions loses rows and gets wrong ones, and is put back in one commit; the next plan inserts all."""
+    baseline = retail.source_sales(spark, sf_dir)
+    source = SnapshotTable(spark, scratch_path(spark, "versions"))
+    source.append(baseline.where("line_no = 1").withColumn("amount", F.col("amount") * 0 + 1))
+    sync = TableSync(source, versioned_target(spark, sf_dir))
+    sync.reset(baseline)
+    return sync.plan()
+
+
 @query
 def failed_blocks(spark, sf_dir):
     target = written_target(spark, sf_dir)
