@@ -8,6 +8,9 @@ from pyspark.sql import Column, functions as F
 
 from ..schema import AMOUNT_SUM
 
+#: The digest that sees every column, see ``operators/content``.
+CONTENT = "content"
+
 DIGESTS: dict[str, Callable[[Column], Column]] = {
     "md5": F.md5,
     "sha256": lambda text: F.sha2(text, 256),
@@ -24,6 +27,12 @@ def block_text(amount_sum: Column, row_count: Column) -> Column:
 def block_hash(amount_sum: Column, row_count: Column, digest: str = "md5") -> Column:
     """Lower-case hex digest of the block text; an empty block has the empty hash."""
     if digest not in DIGESTS:
-        raise ValueError(f"digest must be one of {sorted(DIGESTS)}, not {digest!r}")
+        raise ValueError(f"digest must be one of {sorted([*DIGESTS, CONTENT])}, not {digest!r}")
     text = block_text(amount_sum, row_count)
     return F.when(row_count == 0, F.lit("")).otherwise(DIGESTS[digest](text))
+
+
+def content_hash(high_sum: Column, low_sum: Column, row_count: Column) -> Column:
+    """MD5 of the figures of a bag of rows; an empty block has the empty hash."""
+    text = F.concat_ws("|", *(x.cast("string") for x in (high_sum, low_sum, row_count)))
+    return F.when(row_count == 0, F.lit("")).otherwise(F.md5(text))

@@ -93,6 +93,7 @@ def mark_named_blocks(sales: DataFrame, blocks: DataFrame) -> DataFrame:
     named = blocks.select(
         F.coalesce("period", F.lit("")).alias("_block"), F.lit(True).alias("_named")
     ).distinct()
+    named = named.where("_block >= ''")  # always so: Spark prunes at run time only by a side that has a filter
     same = F.coalesce("period", F.lit("")) == F.col("_block")
     return sales.join(named, same, "left").drop("_block")
 

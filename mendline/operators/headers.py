@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.digest import block_hash
+from ..functions.digest import CONTENT, block_hash
 from ..functions.periods import period_of
 from ..schema import AMOUNT_SUM
 
@@ -48,7 +48,14 @@ def block_totals(sales: DataFrame, derived: bool = False) -> DataFrame:
 
 
 def block_headers(sales: DataFrame, digest: str = "md5", derived: bool = False) -> DataFrame:
-    """``(period, row_count, amount_sum, block_hash)``, one row per block."""
+    """``(period, row_count, amount_sum, block_hash)``, one row per block.
+
+    The digest ``content`` reads every column and sees any change of the rows; the others see amounts.
+    """
+    if digest == CONTENT:
+        from .content import content_headers, content_totals
+
+        return content_headers(content_totals(sales, derived))
     return with_block_hash(block_totals(sales, derived), digest)
 
 

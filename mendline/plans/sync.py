@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 
 from ..functions.periods import check_request
 from ..operators.headers import block_headers, header_equality
+from ..operators import tree
 from ..operators.perturb import perturb_block
-from ..scratch import scratch_path
+from ..scratch import materialise, scratch_path
 from ..sources.header_log import HeaderLog
 from ..sources.snapshot import CommitConflict
 from ..sources.table import KEEP, REBALANCE, BlockTable
@@ -80,6 +81,25 @@ class TableSync:
         actions = plan.sync_plan(self.source_headers(), self._headers(target))
         return apply.apply_plan(actions, self.source_rows(), target, layout, isolate, self.derived, self.digest)
 
+    def mend(self, buckets: int = tree.BUCKETS, attempts: int = 10) -> DataFrame:
+        """Bring the source's months up to date leaf by leaf, and return the leaves that differed.
+
+        Whole rows are compared, whatever ``digest`` says. From the source only the differing leaves are
+        fetched; a stored month is still rewritten as a whole, from the target's own rows.
+        """
+        for attempt in range(1, attempts + 1):
+            target = self.target.pinned()
+            leaves = tree.differing_leaves(self.source_rows(), target.read(), buckets, self.derived)
+            if leaves.isEmpty():
+                return leaves
+            try:
+                rows = tree.mended_blocks(self.source_rows(), target.read(), leaves, buckets, self.derived)
+                target.replace(materialise(rows, "mended"))
+                return leaves
+            except CommitConflict:
+                if attempt == attempts:
+                    raise
+
     def report(self, results: DataFrame) -> DataFrame:
         """Counters over the block results."""
         return report.sync_report(results)

@@ -73,6 +73,33 @@ def _headers(name: str, table: str, digest: str = "md5") -> str:
 )"""
 
 
+_FIELDS = ("sale_id", "line_no", "strftime(sale_ts, '%Y-%m-%d %H:%M:%S.%f')", "customer", "product", "amount")
+_MARK = "md5(" + " || '|' || ".join(
+    f"coalesce(length(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')" for x in _FIELDS
+) + ")"
+
+
+def _content(name: str, table: str) -> str:
+    number = lambda first: f"CAST(sum(('0x' || substr(mark, {first}, 15))::BIGINT) AS VARCHAR)"
+    return f"""
+{name} AS (
+  SELECT period, count(*) AS row_count, CAST(sum(amount) AS DECIMAL(28,2)) AS amount_sum,
+         md5({number(1)} || '|' || {number(17)} || '|' || CAST(count(*) AS VARCHAR)) AS block_hash
+  FROM (SELECT *, {_MARK} AS mark FROM {table}) GROUP BY period
+)"""
+
+
+def _leaves(name: str, table: str) -> str:
+    """Leaves with all their rows, as one text."""
+    return f"""
+{name} AS (
+  SELECT period, strftime(sale_ts, '%Y-%m-%d') AS day,
+         CAST(('0x' || substr(md5(CAST(sale_id AS VARCHAR)), 1, 8))::BIGINT % 16 AS INTEGER) AS bucket,
+         count(*) AS n, string_agg({_MARK}, ',' ORDER BY {_MARK}) AS rows
+  FROM {table} GROUP BY ALL
+)"""
+
+
 HS = _headers("HS", "S")
 HT = _headers("HT", "T")
 
@@ -306,6 +333,15 @@ SELECT period, 'INSERT' AS action, block_hash AS source_hash,
 SELECT period, 'INSERT' AS action, block_hash AS source_hash,
        CAST(NULL AS VARCHAR) AS target_hash_before, row_count FROM HS""",
     ),
+    "headers_content": _with(S, _content("CS", "S"), select="SELECT * FROM CS"),
+    "headers_added": _with(S, _content("CS", "S"), select="SELECT * FROM CS"),
+    "content_plan": _with(S, T, _content("CS", "S"), _content("CT", "T"), _plan("CS", "CT"), select=f"SELECT {PLAN_COLUMNS} FROM plan"),
+    "tree_leaves": _with(S, T, _leaves("LS", "S"), _leaves("LT", "T"), select="""
+SELECT coalesce(s.period, t.period) AS period, coalesce(s.day, t.day) AS day, coalesce(s.bucket, t.bucket) AS bucket,
+       coalesce(s.n, 0) AS source_rows, coalesce(t.n, 0) AS target_rows
+FROM LS s FULL JOIN LT t ON s.period = t.period AND s.day = t.day AND s.bucket = t.bucket
+WHERE s.rows IS DISTINCT FROM t.rows AND coalesce(s.period, t.period) IN (SELECT period FROM S)"""),
+    "tree_mend": _with(S, T, select=f"SELECT {COLUMNS} FROM S UNION ALL SELECT {COLUMNS} FROM T WHERE period NOT IN (SELECT period FROM S)"),
     "overlapping_syncs": _with(S, T, HS, HT, PLAN, SYNCED, select=f"SELECT {COLUMNS} FROM synced"),
     "snapshot_sync": _with(
         S, T, HS, HT, PLAN, SYNCED,

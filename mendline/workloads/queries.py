@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import periods, texts
-from ..operators import blocks, delta, headers, sample, stats
+from ..operators import blocks, content, delta, headers, sample, stats, tree
 from ..plans import apply, compare, plan, report, status
 from ..plans import diagnostics as diagnosis
 from ..plans.sync import TableSync
@@ -150,6 +150,44 @@ def headers_sha256(spark, sf_dir):
     return headers.block_headers(sales, "sha256", derived=True)
 
 
+@query
+def headers_content(spark, sf_dir):
+    return headers.block_headers(retail.source_sales(spark, sf_dir), "content", derived=True)
+
+
+@query
+def content_plan(spark, sf_dir):
+    """The plan by the digest of whole rows: months with other customers are repaired too."""
+    sides = retail.source_sales(spark, sf_dir), retail.target_sales(spark, sf_dir)
+    return plan.sync_plan(headers.block_headers(sides[0], "content", derived=True), headers.block_headers(sides[1], "content"))
+
+
+@query
+def headers_added(spark, sf_dir):
+    """Headers of the source out of those of the target, by adding the rows that came and subtracting those that went."""
+    source, target = retail.source_sales(spark, sf_dir), retail.target_sales(spark, sf_dir)
+    changes = materialise(delta.block_delta(source, target), "changes")
+    copies = lambda way: changes.where(F.col("copies") * way > 0).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("copies")))
+    )
+    totals = content.add(content.content_totals(target), content.content_totals(copies(1)))
+    return content.content_headers(content.subtract(totals, content.content_totals(copies(-1))))
+
+
+@query
+def tree_leaves(spark, sf_dir):
+    """Leaves of the digest tree that differ."""
+    return tree.differing_leaves(retail.source_sales(spark, sf_dir), retail.target_sales(spark, sf_dir), derived=True)
+
+
+@query
+def tree_mend(spark, sf_dir):
+    """A stored target after a repair that fetched only the differing leaves."""
+    sync = _sync(spark, sf_dir)
+    sync.mend()
+    return sync.target.read()
+
+
 @query
 def header_equality(spark, sf_dir):
     return headers.header_equality(*_headers(spark, sf_dir))
