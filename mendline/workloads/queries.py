@@ -17,6 +17,7 @@ from ..scratch import materialise, scratch_path
 from ..sources.result_log import ResultLog
 from ..sources.snapshot import CommitConflict, SnapshotTable
 from ..sources.table import BlockTable
+from ..streaming.header_stream import HeaderStream
 from . import retail
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,6 +151,19 @@ def headers_sha256(spark, sf_dir):
     return headers.block_headers(sales, "sha256", derived=True)
 
 
+@query
+def headers_streamed(spark, sf_dir):
+    """Headers of the source, stored and then read as a stream of several batches, with a restart between."""
+    source = BlockTable(spark, scratch_path(spark, "source"))
+    source.append(retail.source_sales(spark, sf_dir).where("line_no <= 3"))
+    path, stream = scratch_path(spark, "stream"), spark.readStream.schema(source.schema)
+    rows = stream.option("maxFilesPerTrigger", 40).parquet(source.path)
+    HeaderStream(spark, path).catch_up(rows)
+    source.append(retail.source_sales(spark, sf_dir).where("line_no > 3"))
+    HeaderStream(spark, path).catch_up(rows)
+    return HeaderStream(spark, path).headers()
+
+
 @query
 def headers_content(spark, sf_dir):
     return headers.block_headers(retail.source_sales(spark, sf_dir), "content", derived=True)
