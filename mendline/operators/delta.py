@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .blocks import keep_other_blocks
+
 
 def block_delta(source: DataFrame, target: DataFrame) -> DataFrame:
     """Rows whose number of copies differs between the sides, with ``copies``: how many the
@@ -18,8 +20,10 @@ def block_delta(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def apply_delta(target: DataFrame, delta: DataFrame) -> DataFrame:
-    """The target with the missing copies of a ``block_delta`` added and the others taken away."""
-    added = delta.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
-    taken = delta.where("copies < 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), -F.col("copies"))))
-    rows = target.unionByName(added.select(*target.columns))
-    return rows.exceptAll(taken.select(*target.columns))
+    """The target with the missing copies of a ``block_delta`` added and the others taken away.
+
+    Blocks that the delta does not name pass without a shuffle, and of the others only the rows that it names are shuffled.
+    """
+    from .reconcile import patched_blocks
+
+    return keep_other_blocks(target, delta).unionByName(patched_blocks(target, delta))

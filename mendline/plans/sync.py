@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.periods import check_request
 from ..operators.headers import block_headers, header_equality
-from ..operators import tree
+from ..operators import reconcile, tree
+from ..operators.blocks import fetch_named_blocks
 from ..operators.perturb import perturb_block
+from ..schema import INSERT, REPAIR, SKIP
 from ..scratch import materialise, scratch_path
 from ..sources.header_log import HeaderLog
 from ..sources.snapshot import CommitConflict
@@ -100,6 +104,27 @@ class TableSync:
                 if attempt == attempts:
                     raise
 
+    def patch(self, sizes: Sequence[int] = reconcile.SIZES, attempts: int = 10) -> DataFrame:
+        """Bring the target up to date row by row, and return the rows of repaired blocks that differed, with ``copies``.
+
+        Blocks that differ by ``digest`` are reconciled: the sides exchange tables of ``sizes`` cells, and the source is asked for the missing rows only.
+        Inserted blocks are copied. A stored block is still rewritten as a whole, from the target's own rows and the missing ones.
+        """
+        for attempt in range(1, attempts + 1):
+            target = self.target.pinned()
+            actions = materialise(plan.sync_plan(self.source_headers(), self._headers(target)), "plan")
+            inserted, differing = (actions.where(F.col("action") == action).select("period") for action in (INSERT, REPAIR))
+            delta = materialise(reconcile.reconciled_delta(self.source_rows(), target.read(), differing, sizes, self.derived), "delta")
+            if actions.where(F.col("action") != SKIP).isEmpty():
+                return delta
+            rows = reconcile.patched_blocks(target.read(), delta).unionByName(fetch_named_blocks(self.source_rows(), inserted, self.derived))
+            try:
+                target.replace(materialise(rows, "patched"))
+                return delta
+            except CommitConflict:
+                if attempt == attempts:
+                    raise
+
     def report(self, results: DataFrame) -> DataFrame:
         """Counters over the block results."""
         return report.sync_report(results)

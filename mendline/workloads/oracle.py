@@ -317,6 +317,7 @@ FROM (SELECT {COLUMNS}, 1 AS side FROM S UNION ALL SELECT {COLUMNS}, -1 AS side
 WHERE period IN (SELECT period FROM plan WHERE action = 'REPAIR')
 GROUP BY {COLUMNS} HAVING sum(side) <> 0""",
     ),
+    "sync_patch": _with(S, T, HS, HT, PLAN, SYNCED, select=f"SELECT {COLUMNS} FROM synced"),
     "sync_merge": _with(S, T, HS, HT, PLAN, SYNCED, select=f"SELECT {COLUMNS} FROM synced"),
     "resync_plan": _with(
         S, T, HS, HT, PLAN, SYNCED, _headers("HN", "synced"), _plan("HS", "HN", "again"),
@@ -482,3 +483,4 @@ SELECT (SELECT count(*) FROM HK) AS source_blocks, (SELECT count(*) FROM HP) AS
        {_state("HK", "HP")} AS state""",
     ),
 }
+ORACLE["reconciled_delta"] = ORACLE["repair_delta"]

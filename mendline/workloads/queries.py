@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import periods, texts
-from ..operators import blocks, content, delta, headers, sample, stats, tree
+from ..operators import blocks, content, delta, headers, reconcile, sample, stats, tree
 from ..plans import apply, compare, plan, report, status
 from ..plans import diagnostics as diagnosis
 from ..plans.sync import TableSync
@@ -279,6 +279,23 @@ def repair_delta(spark, sf_dir):
     )
 
 
+@query
+def reconciled_delta(spark, sf_dir):
+    """The same rows, told from tables of cells that the sides exchange."""
+    actions = plan.sync_plan(*_headers(spark, sf_dir))
+    differing = materialise(actions.where(F.col("action") == REPAIR).select("period"), "differing")
+    source, target = retail.source_sales(spark, sf_dir), retail.target_sales(spark, sf_dir)
+    return reconcile.reconciled_delta(source, target, differing, derived=True)
+
+
+@query
+def sync_patch(spark, sf_dir):
+    """A stored target after a repair that fetched only the rows that differ."""
+    sync = _sync(spark, sf_dir)
+    sync.patch()
+    return sync.target.read()
+
+
 @query
 def sync_merge(spark, sf_dir):
     changed = materialise(plan.changed_blocks(plan.sync_plan(*_headers(spark, sf_dir))), "changed")
