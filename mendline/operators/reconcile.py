@@ -9,54 +9,62 @@ different for the largest is compared row by row.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..schema import AMOUNT
 from ..scratch import materialise
 from .blocks import fetch_named_blocks
-from .content import ROW, row_mark
+from .content import ROW
 from .delta import block_delta
 
 #: Cells per block, attempt by attempt. Each attempt reads the blocks that the one before has left.
 SIZES = (240, 3_840, 61_440)
 _PLACES = 3
-_KEY = "decimal(19,0)"
+_PLACE_BITS = 20
+_HALF = 1 << 63
 _FIGURES = ("copies", "high", "low", "check_sum")
-_PEELED = f"period string, high {_KEY}, low {_KEY}, copies bigint, solved boolean"
+_PEELED = "period string, high bigint, low bigint, copies bigint, solved boolean"
 
 
-def _hex(text: Column, first: int, digits: int, kind: str) -> Column:
-    return F.conv(F.substring(text, first, digits), 16, 10).cast(kind)
+def _row_key(half: int) -> Column:
+    """64 bits of a row, its block aside; NULLs are told from other values by where they are, as the hash passes over them."""
+    kinds = {"sale_id": "string", "sale_ts": "timestamp_ntz", "line_no": "int", "amount": AMOUNT}
+    fields = [F.col(name).cast(kinds[name]) if name in kinds else F.col(name) for name in ROW]
+    return F.xxhash64(F.lit(half), *(field.isNull() for field in fields), *fields)
 
 
 def with_key(sales: DataFrame) -> DataFrame:
-    """The rows with ``_high`` and ``_low``, 120 bits of their mark. The block is no part of it."""
-    return sales.withColumn("_mark", row_mark()).select(
-        *sales.columns, _hex(F.col("_mark"), 1, 15, _KEY).alias("_high"), _hex(F.col("_mark"), 17, 15, _KEY).alias("_low")
-    )
+    """The rows with ``_high`` and ``_low``, the two halves of their key."""
+    return sales.withColumns({"_high": _row_key(1), "_low": _row_key(2)})
+
+
+def _signed(number: int) -> int:
+    return number - (1 << 64) if number >> 63 else number
 
 
 def _check_and_places(high: int, low: int, third: int) -> tuple[int, list[int]]:
-    """What ``_cells`` computes for a key."""
-    digest = hashlib.md5(f"{high:015x}{low:015x}".encode()).hexdigest()
-    return int(digest[:15], 16), [int(digest[15 + 5 * i : 20 + 5 * i], 16) % third + i * third for i in range(_PLACES)]
+    """What ``_cells`` computes for a key: Spark's ``xxhash64`` goes on from the hash of one column to that of the next."""
+    digest = xxhash.xxh64_intdigest(low.to_bytes(8, "little", signed=True), xxhash.xxh64_intdigest(high.to_bytes(8, "little", signed=True), 42))
+    bits = (1 << _PLACE_BITS) - 1
+    return _signed(digest), [(digest >> (_PLACE_BITS * i) & bits) % third + i * third for i in range(_PLACES)]
 
 
 def _cells(sales: DataFrame, third: int, side: int) -> DataFrame:
     """One row per row and cell that it is in, with the numbers to be summed up."""
-    mark = row_mark()
-    keyed = sales.select(
-        F.coalesce("period", F.lit("")).alias("period"), F.concat(F.substring(mark, 1, 15), F.substring(mark, 17, 15)).alias("key")
-    ).withColumn("digest", F.md5(F.col("key").cast("binary")))
-    places = [_hex(F.col("digest"), 16 + 5 * i, 5, "int") % third + i * third for i in range(_PLACES)]
-    signed = lambda text, first: _hex(F.col(text), first, 15, _KEY) * F.lit(side)
-    return keyed.select(
-        "period", F.lit(side).alias("copies"), signed("key", 1).alias("high"), signed("key", 16).alias("low"), signed("digest", 1).alias("check_sum"),
-        F.explode(F.array(*places)).alias("cell"),
-    )
+    keyed = with_key(sales).select(F.coalesce("period", F.lit("")).alias("period"), "_high", "_low")
+    checked = keyed.withColumn("_check", F.xxhash64("_high", "_low"))
+    bits = (1 << _PLACE_BITS) - 1
+    places = [
+        (F.shiftrightunsigned("_check", _PLACE_BITS * i).bitwiseAND(F.lit(bits)) % third + i * third).cast("int") for i in range(_PLACES)
+    ]
+    # The numbers are made before the rows are repeated.
+    numbers = ((F.col(name).cast("decimal(20,0)") * F.lit(side)).cast("decimal(20,0)").alias(alias) for name, alias in zip(("_high", "_low", "_check"), _FIGURES[1:]))
+    made = checked.select("period", F.lit(side).alias("copies"), *numbers, F.array(*places).alias("places"))
+    return made.select("period", *_FIGURES, F.explode("places").alias("cell"))
 
 
 def table_difference(source: DataFrame, target: DataFrame, cells: int) -> DataFrame:
@@ -71,8 +79,8 @@ def table_difference(source: DataFrame, target: DataFrame, cells: int) -> DataFr
 
 
 def _third(cells: int) -> int:
-    if not _PLACES <= cells <= _PLACES << 20:
-        raise ValueError(f"a table has {_PLACES} to {_PLACES << 20} cells, not {cells}")
+    if not _PLACES <= cells <= _PLACES << _PLACE_BITS:
+        raise ValueError(f"a table has {_PLACES} to {_PLACES << _PLACE_BITS} cells, not {cells}")
     return cells // _PLACES
 
 
@@ -83,7 +91,7 @@ def peel(cells: dict[int, list[int]], third: int) -> dict[tuple[int, int], int]
     while pending and left:
         at = pending.pop()
         copies, high, low, check = cells[at]
-        if not copies or high % copies or low % copies or not (0 <= high // copies < 1 << 60 and 0 <= low // copies < 1 << 60):
+        if not copies or high % copies or low % copies or not all(-_HALF <= number // copies < _HALF for number in (high, low)):
             continue
         key = high // copies, low // copies
         right, places = _check_and_places(*key, third)
@@ -105,18 +113,12 @@ def _peel_blocks(third: int):
     def peel_block(rows: pd.DataFrame) -> pd.DataFrame:
         cells = {int(cell): [int(x) for x in figures] for cell, *figures in zip(rows["cell"], *(rows[name] for name in _FIGURES))}
         found, period = peel(cells, third), rows["period"].iloc[0]
-        told = [(period, None, None, None, False)] if found is None else [(period, *_decimals(key), copies, True) for key, copies in found.items()]
-        return pd.DataFrame(told, columns=["period", "high", "low", "copies", "solved"])
+        told = [(period, None, None, None, False)] if found is None else [(period, *key, copies, True) for key, copies in found.items()]
+        return pd.DataFrame(told, columns=["period", "high", "low", "copies", "solved"]).astype({name: "Int64" for name in ("high", "low", "copies")})
 
     return peel_block
 
 
-def _decimals(key: Iterable[int]) -> Iterator:
-    from decimal import Decimal
-
-    return map(Decimal, key)
-
-
 def differing_keys(source: DataFrame, target: DataFrame, cells: int) -> DataFrame:
     """``(period, high, low, copies, solved)``: keys of rows that differ, and one row that is not ``solved`` for each block that did not peel.
 
@@ -139,8 +141,8 @@ def reconciled_delta(
     """What ``block_delta`` gives for the blocks of ``differing``, without a shuffle of their rows.
 
     The sides exchange tables of ``sizes`` cells, then each is read once more for the rows that the keys name. Both sides are bags; repeated rows, NULLs and
-    empty sides are as in ``block_delta``, but that a NULL period comes out as the empty one, as they are one block. Keys have 120 bits and the check 60: that a table
-    peels to something else than the difference is as likely as that two different rows have one digest. ``derived`` is as for ``fetch_named_blocks``.
+    empty sides are as in ``block_delta``, but that a NULL period comes out as the empty one, as they are one block. Keys have 128 bits and the check 64, both
+    against accidents only: nobody can be kept from making two rows with one key on purpose. ``derived`` is as for ``fetch_named_blocks``.
     """
     named = lambda blocks: (fetch_named_blocks(source, blocks, derived), fetch_named_blocks(target, blocks))
     left, keys = differing.select("period"), None

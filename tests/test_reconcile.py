@@ -38,7 +38,7 @@ def test_places_are_the_same_on_both_sides(spark, sales):
 def test_peeling(seed):
     """Bags of keys with copies of both signs come back; a table that is too small says so, and tells nothing wrong."""
     draw = random.Random(seed)
-    keys = {(draw.getrandbits(60), draw.getrandbits(60)): draw.choice([-3, -1, 1, 1, 2]) for _ in range(150)}
+    keys = {(draw.getrandbits(64) - (1 << 63), draw.getrandbits(64) - (1 << 63)): draw.choice([-3, -1, 1, 1, 2]) for _ in range(150)}
 
     def table(third):
         cells: dict[int, list[int]] = {}
@@ -69,6 +69,20 @@ def test_equals_the_comparison_row_by_row(spark, wide, sizes):
     assert rows_of(apply_delta(target, delta)) == rows_of(mine(source).unionByName(target.where("period = '2023-03'")))
 
 
+def test_nulls_and_neighbours_have_keys_of_their_own(spark):
+    from datetime import datetime
+    from decimal import Decimal
+
+    from mendline import SALES
+
+    day, one = datetime(2023, 1, 1), Decimal("1.00")
+    rows = [(1, 1, day, c, p, one, "x") for c, p in [("a", None), (None, "a"), ("a", ""), ("", "a"), (None, None), ("", ""), ("ab", ""), ("a", "b")]]
+    rows += [(None, 1, day, "a", "b", one, "x"), (1, None, day, "a", "b", one, "x"), (1, 1, None, "a", "b", one, "x"), (1, 1, day, "a", "b", None, "x")]
+    keys = reconcile.with_key(spark.createDataFrame(rows, SALES)).collect()
+    assert len({r._high for r in keys}) == len({r._low for r in keys}) == len(rows)
+    assert not {r._high for r in keys} & {r._low for r in keys}
+
+
 def test_empty_sides_and_the_empty_block(spark, sales, wide):
     nothing = wide.limit(0)
     blocks = blocks_of(spark, "2023-01", None)
