@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.periods import instant
 
+#: Ranges of time that a scan is given for a list of blocks.
+RANGES = 32
+
 
 def in_blocks(periods: Iterable[str]) -> Column:
     """Membership of a row in one of the listed blocks.
@@ -48,24 +51,43 @@ def _any(conditions: list[Column]) -> Column:
     return conditions[0]
 
 
-def in_months(periods: Iterable[str]) -> Column:
-    """Membership of ``sale_ts`` in one of the months, in a form that sources can filter by.
+def month_spans(periods: Iterable[str], most: int | None = None) -> list[tuple[str, str | None]] | None:
+    """The months as ranges of time, adjoining ones as one; None if one of the periods is no month.
 
-    Adjoining months are one range. True if one of the periods is no month.
+    With ``most``, ranges are joined across the narrowest gaps until no more than that are left.
     """
     ranges = [month_range(p or "") for p in set(periods)]
     if not all(ranges):
-        return F.lit(True)
-    spans: list[list[str | None]] = []
+        return None
+    spans: list[tuple[str, str | None]] = []
     for first, after in sorted(ranges):
         if spans and spans[-1][1] == first:
-            spans[-1][1] = after
+            spans[-1] = (spans[-1][0], after)
         else:
-            spans.append([first, after])
+            spans.append((first, after))
+    if most and len(spans) > most:
+        number = lambda text: int(text[:4]) * 12 + int(text[5:7])
+        gaps = [number(b[0]) - number(a[1]) for a, b in zip(spans, spans[1:])]
+        kept = sorted(sorted(range(len(gaps)), key=lambda i: -gaps[i])[: most - 1])
+        starts, ends = [0, *(i + 1 for i in kept)], [*kept, len(spans) - 1]
+        spans = [(spans[i][0], spans[j][1]) for i, j in zip(starts, ends)]
+    return spans
+
+
+def _in_spans(spans: list[tuple[str, str | None]]) -> Column:
     ts = F.col("sale_ts")
     return _any([(ts >= instant(a)) & (ts < instant(b)) if b else ts >= instant(a) for a, b in spans])
 
 
+def in_months(periods: Iterable[str]) -> Column:
+    """Membership of ``sale_ts`` in one of the months, in a form that sources can filter by.
+
+    Adjoining months are one range. True if one of the periods is no month.
+    """
+    spans = month_spans(periods)
+    return F.lit(True) if spans is None else _in_spans(spans)
+
+
 def fetch_blocks(sales: DataFrame, periods: Iterable[str], derived: bool = False) -> DataFrame:
     """Rows of the listed blocks, in one scan; unknown periods give no rows.
 
@@ -102,22 +124,16 @@ def fetch_named_blocks(sales: DataFrame, blocks: DataFrame, derived: bool = Fals
     """Rows whose block is in ``blocks``, for any number of blocks.
 
     The join prunes the directories of a stored table at run time. ``derived`` states that
-    ``period`` is the month of ``sale_ts``; the time from the first to the last of the
-    months then also goes to the scan, as scalar subqueries over ``blocks``.
+    ``period`` is the month of ``sale_ts``; the months then also go to the scan as up to ``RANGES`` ranges of time, exact ones unless there
+    are more. For that the months are collected at once, of which there are 120,000 at most; give it a stored list of blocks.
     """
     if derived:
-        month = F.coalesce(F.expr("period RLIKE '^[0-9]{4}-(0[1-9]|1[0-2])$' AND period < '9999-12'"), F.lit(False))
-        first = F.when(month, F.to_timestamp_ntz(F.concat("period", F.lit("-01")), F.lit("yyyy-MM-dd")))
-        # A block that is no month, or has no next one, leaves both ends open.
-        known = F.bool_and(month)
-        ends = blocks.agg(
-            F.when(known, F.min(first)).otherwise(instant("0001-01-01 00:00:00")).alias("from"),
-            F.when(known, F.max(first) + F.expr("INTERVAL '1' MONTH"))
-            .otherwise(instant("9999-12-31 23:59:59.999999")).alias("to"),
-        )
-        # Rows without time are the join's to judge. The bounds come bare, as scans filter by no expression of them.
-        for within in (F.col("sale_ts") >= ends.select("from").scalar(), F.col("sale_ts") <= ends.select("to").scalar()):
-            sales = sales.filter(within | F.col("sale_ts").isNull())
+        month = F.when(F.col("period").rlike("^[0-9]{4}-(0[1-9]|1[0-2])$"), F.col("period"))
+        spans = month_spans((row[0] for row in blocks.select(month).distinct().collect()), RANGES)
+        if spans == []:
+            sales = sales.limit(0)
+        elif spans:  # rows without time are the join's to judge
+            sales = sales.filter(_in_spans(spans) | F.col("sale_ts").isNull())
     return mark_named_blocks(sales, blocks).filter("_named").drop("_named")
 
 

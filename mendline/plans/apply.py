@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from itertools import islice
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.texts import block_message
 from ..operators.blocks import fetch_blocks, fetch_named_blocks
@@ -18,6 +19,8 @@ from .plan import block_results, changed_blocks
 
 #: Blocks that are tried together once the copy of all has failed.
 TRIED = 1_000
+#: Blocks in a row that fail alike, with none copied, after which as many others decide whether to go on.
+HOPELESS = 5
 _FAILURES = "period string, error string"
 
 
@@ -25,28 +28,66 @@ def _text_of(error: Exception) -> str:
     return str(error) or type(error).__name__
 
 
-def _copy_isolated(
-    source: DataFrame, target: BlockTable, periods: list[str], layout: str, derived: bool
-) -> Iterator[tuple[str, str]]:
+class _Outcome:
+    """What the copies of single blocks have come to so far; ``copy`` puts the listed blocks in place."""
+
+    def __init__(self, copy: Callable[[list[str]], None], periods: list[str]):
+        self.copy, self.periods = copy, periods
+        self.copied = False
+        self.alike: list[str] = []
+
+    def put(self, periods: list[str]) -> None:
+        self.copy(periods)
+        self.copied = True
+
+    def failed(self, error: Exception) -> None:
+        """Counts the error of one block.
+
+        Once ``HOPELESS`` blocks in a row have failed alike and none was copied, as many others are tried, from all over the list; raises
+        if these fail in that way too.
+        """
+        kind = _kind_of(error)
+        self.alike = [*self.alike, kind] if kind in self.alike[-1:] else [kind]
+        if self.copied or len(self.alike) < HOPELESS:
+            return
+        for period in self.periods[:: -max(1, len(self.periods) // HOPELESS)][:HOPELESS]:
+            try:
+                self.put([period])
+                return
+            except CommitConflict:
+                raise
+            except Exception as other:
+                if _kind_of(other) != kind:
+                    return
+        raise RuntimeError(f"block after block fails in one way, and none was copied: {_text_of(error)}") from error
+
+
+def _kind_of(error: Exception) -> str:
+    """An error without its numbers, which name tasks, stages and blocks."""
+    return re.sub("[0-9]+", "0", _text_of(error).partition("\n")[0])
+
+
+def _copy_isolated(spark: SparkSession, periods: list[str], outcome: _Outcome) -> Iterator[tuple[str, str]]:
     """Copy the blocks in one job; if it fails, copy each half on its own.
 
     One bad block among n costs about 2 log2(n) jobs and copies every good block about
     twice at most, instead of one job per block. Yields the blocks that fail alone,
-    with the error.
+    with the error; raises once it is clear that no block is to blame.
     """
     try:
-        target.replace(fetch_blocks(source, periods, derived), layout)
+        outcome.put(periods)
     except CommitConflict:
         raise  # the plan is out of date, whatever the block
     except Exception as error:
-        if source.sparkSession.sparkContext._jsc.sc().isStopped():
+        if spark.sparkContext._jsc.sc().isStopped():
             raise
         if len(periods) == 1:
+            outcome.failed(error)
             yield periods[0], _text_of(error)
             return
         half = len(periods) // 2
-        yield from _copy_isolated(source, target, periods[:half], layout, derived)
-        yield from _copy_isolated(source, target, periods[half:], layout, derived)
+        yield from _copy_isolated(spark, periods[:half], outcome)
+        yield from _copy_isolated(spark, periods[half:], outcome)
 
 
 def _reachable(source: DataFrame, target: BlockTable) -> None:
@@ -99,7 +140,7 @@ def apply_plan(
     source's; ``digest`` is the plan's.
 
     With ``isolate`` a block that cannot be copied is reported as failed and the
-    others are still copied. ``derived`` is as for ``fetch_blocks``.
+    others are still copied, unless block after block fails alike and none can be copied. ``derived`` is as for ``fetch_blocks``.
     """
     results = materialise(block_results(plan), "plan")
     changed = changed_blocks(results)
@@ -115,6 +156,7 @@ def apply_plan(
             raise
         _reachable(source, target)
         periods = (row.period for row in changed.toLocalIterator())
+        copy = lambda some: target.replace(fetch_blocks(source, some, derived), layout)
         while some := list(islice(periods, TRIED)):
-            failures.extend(_copy_isolated(source, target, some, layout, derived))
+            failures.extend(_copy_isolated(source.sparkSession, some, _Outcome(copy, some)))
     return materialise(_checked(results, target, failures, digest), "results")

@@ -180,6 +180,29 @@ def test_open_end_dates_and_many_separate_months(sales):
     assert blocks.fetch_blocks(spread, apart[:69], derived=True).count() == 69
 
 
+def test_far_months_are_ranges_of_their_own(spark, sales, tmp_path):
+    """Two months seven years apart: nothing between them is read; beyond ``RANGES`` the narrowest gaps are."""
+    spans = blocks.month_spans(["1992-03", "1999-05", "1999-06", "1992-03"])
+    assert spans == [("1992-03-01 00:00:00", "1992-04-01 00:00:00"), ("1999-05-01 00:00:00", "1999-07-01 00:00:00")]
+    assert blocks.month_spans(["2000-01", "2000-03", "2010-01", "2010-04"], 2) == [
+        ("2000-01-01 00:00:00", "2000-04-01 00:00:00"), ("2010-01-01 00:00:00", "2010-05-01 00:00:00"),
+    ]
+    assert blocks.month_spans(["2000-01", "2000-03", "9999-12"], 1) == [("2000-01-01 00:00:00", None)]
+    assert blocks.month_spans(["2000-01", "x"]) is None and blocks.month_spans([]) == []
+    months = [f"{1992 + i // 12}-{i % 12 + 1:02d}" for i in range(96)]
+    rows = sales(*((i, p, i) for i, p in enumerate(months))).withColumn("sale_ts", F.concat("period", F.lit("-05")).cast("timestamp_ntz"))
+    rows.drop("period").repartitionByRange(96, "sale_ts").write.parquet(str(tmp_path / "flat"))
+    stored = spark.read.parquet(str(tmp_path / "flat")).withColumn("period", F.date_format("sale_ts", "yyyy-MM"))
+    named = spark.createDataFrame([("1992-03",), ("1999-05",)], "period string")
+    fetched = blocks.fetch_named_blocks(stored, named, derived=True)
+    assert sorted(r.period for r in fetched.collect()) == ["1992-03", "1999-05"]
+    scan = fetched._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(" in scan
+    for many in (months[::2], months[::-3]):
+        wanted = spark.createDataFrame([(p,) for p in many], "period string")
+        assert blocks.fetch_named_blocks(stored, wanted, derived=True).count() == len(many)
+
+
 def test_more_blocks_than_any_list(spark, sales):
     rows = spark.range(30_000).selectExpr("cast(id % 15000 as string) AS period", "id AS n")
     some = spark.range(12_000).selectExpr("cast(id as string) AS period")

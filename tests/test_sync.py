@@ -211,6 +211,25 @@ def test_the_whole_text_of_an_error_is_kept(table, sales):
     assert not results["2023-02"].failed and results["2023-02"].rows_inserted == 1
 
 
+@pytest.mark.parametrize("good", [0, 20])
+def test_isolation_gives_up_when_block_after_block_fails(monkeypatch, table, sales, good):
+    """A source that fails past its first row costs a bounded number of jobs; many bad blocks do not hide as many good ones."""
+    rows = sales(*((i, f"{2000 + i // 12}-{i % 12 + 1:02d}", i) for i in range(40)))
+    boom = F.raise_error(F.lit("disk 7 is gone")).cast("decimal(18,2)")
+    bad = rows.withColumn("amount", F.when(F.col("sale_id") < 40 - good, boom).otherwise(F.col("amount")))
+    target, calls = table(), []
+    plan = sync_plan(TableSync(rows, target).source_headers(), target.headers())
+    replace = target.replace
+    monkeypatch.setattr(target, "replace", lambda *args: (calls.append(1), replace(*args)))
+    if good:
+        results = apply_plan(plan, bad, target, isolate=True)
+        assert results.where("NOT failed").count() == good == target.read().count()
+    else:
+        with pytest.raises(RuntimeError, match="none was copied.*disk"):
+            apply_plan(plan, bad, target, isolate=True)
+        assert len(calls) < 25 and target.read().isEmpty()
+
+
 def test_isolation_stops_at_once_when_the_source_is_down(table, sales):
     rows = sales((1, "2023-01", 1), (2, "2023-02", 2))
     down = rows.where(F.raise_error(F.lit("no connection")).cast("boolean"))
