@@ -2,7 +2,7 @@
 
 The texts are cut into shards of a few megabytes, each inside one task. A shard numbers its
 words by the words of the test items (0 for a word that no item has), drops stretches of known
-words too short for a window, and sorts all remaining suffixes by prefix doubling. Every suffix of
+words too short for a window (``longest_matches`` keeps them), and sorts all remaining suffixes by prefix doubling. Every suffix of
 every test item is then looked up by binary search, which gives its longest verbatim match in the
 shard and where that is; suffixes that match a whole window give all their occurrences as one
 range of the suffix array.
@@ -73,7 +73,10 @@ def match_items(docs: DataFrame, items: DataFrame, carry: Sequence[str] = ("doc_
 
 def longest_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", window: int = 10) -> DataFrame:
     """The longest verbatim match of every suffix of every item, and a place where it is:
-    ``item_id, item_word, length, doc_id, word`` (of equal matches that with the smallest id and word).
+    ``item_id, item_word, length, doc_id, word`` (of equal matches that with the smallest id and word; NULL is the least id).
+
+    Matches of any length count, down to one word; ``window`` decides nothing here. Of repeated item ids the longest match of any is told.
+    Items and texts without words give no rows.
     """
     texts = docs.select(F.struct(F.col(key).alias("id")).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     kind = texts.schema["row"].dataType["id"].dataType.simpleString()
@@ -148,9 +151,9 @@ class TestBlock:
 
 
 class Shard:
-    """The suffix array of the texts of one batch."""
+    """The suffix array of the texts of one batch, but for stretches of known words under ``shortest``."""
 
-    def __init__(self, texts: pa.Array, block: TestBlock):
+    def __init__(self, texts: pa.Array, block: TestBlock, shortest: int = 1):
         words = Words(*utf8(texts), ALNUM)
         self.n_words = np.diff(words.first)
         self.first = words.first[:-1] + np.arange(len(texts))  # of each text, with a gap after each
@@ -159,7 +162,7 @@ class Shard:
             number, distinct = encode(*words.packed())
             known = pc.fill_null(pc.index_in(distinct, value_set=block.vocabulary), -1).to_numpy() + 1
             self.words[np.arange(len(words)) + np.repeat(np.arange(len(texts)), self.n_words)] = known[number]
-            self._drop_short(block.shortest)
+            self._drop_short(shortest)
         self.order = self._sorted(block.longest)
 
     def _drop_short(self, shortest: int) -> None:
@@ -234,6 +237,25 @@ class Shard:
         suffix, limit = block.suffix[hit], block.window[hit]
         return hit, self._bisect(block, suffix, limit), self._bisect(block, suffix, limit, right=True)
 
+    def first_places(self, block: TestBlock, found: np.ndarray, length: np.ndarray, ids: pa.Array) -> np.ndarray:
+        """Of the item suffixes ``found``, that place of their first ``length`` words which has the least id, then the least word.
+
+        Suffixes with equal ranges of the suffix array share one look at it.
+        """
+        suffix, limit = block.suffix[found], length[found]
+        ends = np.stack([self._bisect(block, suffix, limit), self._bisect(block, suffix, limit, right=True)], axis=1)
+        ranges, which = np.unique(ends, axis=0, return_inverse=True)
+        if not len(ranges):
+            return np.zeros(0, dtype=np.int64)
+        text = self.text_of(self.order)
+        rank = pc.rank(ids, null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+        word = self.order - self.first[text]
+        by_id = np.lexsort([word, rank[text]])
+        standing = np.empty(len(by_id) + 1, dtype=np.int64)
+        standing[by_id], standing[-1] = np.arange(len(by_id)), len(by_id)
+        least = np.minimum.reduceat(standing, ranges.ravel())[::2]
+        return self.order[by_id[least]][which.ravel()]
+
     def text_of(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, place, "right") - 1
 
@@ -241,7 +263,7 @@ class Shard:
 def _search(rows: Iterator[pa.RecordBatch], block, finish: bool) -> Iterator[pa.RecordBatch]:
     block = block.value
     for part in slices(rows):
-        found = _matches(Shard(part.column("text"), block), block)
+        found = _matches(Shard(part.column("text"), block, block.shortest), block)
         columns = [part.column("row"), *(pa.array(x, t) for x, t in zip(found, _TYPES))]
         yield _finished(columns) if finish else pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
@@ -309,16 +331,18 @@ def _longest(rows: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
     block = block.value
     for part in slices(rows):
         shard = Shard(part.column("text"), block)
-        length, place = shard.longest(block)
+        length, _ = shard.longest(block)
         found = np.flatnonzero(length)
-        text = shard.text_of(place[found])
+        ids = part.column("row").field(0)
+        place = shard.first_places(block, found, length, ids)
+        text = shard.text_of(place)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([block.names[i] for i in block.item[found]], pa.string()),
                 pa.array(block.offset[found]),
                 pa.array(length[found]),
-                part.column("row").field(0).take(pa.array(text)),
-                pa.array(place[found] - shard.first[text]),
+                ids.take(pa.array(text)),
+                pa.array(place - shard.first[text]),
             ],
             names=["item_id", "item_word", "length", "doc_id", "word"],
         )

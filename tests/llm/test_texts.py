@@ -119,6 +119,39 @@ def test_longest_matches(spark):
     same(got, [("5", 0, 4, 2, 0), ("5", 1, 3, 2, 1), ("5", 2, 2, 2, 2), ("5", 3, 1, 2, 3)])
 
 
+def test_longest_matches_of_any_length(spark):
+    """Nine of twelve words, ties by id and word in one shard and over several, NULL and text ids, repeated rows."""
+    nine = " ".join(f"w{i}" for i in range(9))
+    docs = spark.createDataFrame([(7, f"x {nine} y"), (4, f"y y {nine}"), (None, "w1 w2"), (4, f"z {nine} {nine}")], "doc_id bigint, text string")
+    items = spark.createDataFrame([("t", f"{nine} other words here"), ("none", None), ("", "unknown")], "item_id string, text string")
+    got = {r.item_word: (r.length, r.doc_id, r.word) for r in suffixes.longest_matches(docs.coalesce(1), items).collect()}
+    assert got == {i: (9 - i, 4, 1 + i) for i in range(9)}  # w8 alone stands first in row four, too
+    rnd = random.Random(11)
+    said = lambda most: " ".join(rnd.choices("abcd", k=rnd.randrange(most)))
+    rows = [(rnd.choice([None, "9", "10", "k", "é"]), said(40)) for _ in range(60)] + [("10", None), ("k", "")]
+    tests = [(str(i), said(15)) for i in range(12)]
+
+    def plain(word, words):
+        best = None
+        for doc, text in rows:
+            held = (text or "").split()
+            for at in range(len(held)):
+                n = 0
+                while at + n < len(held) and word + n < len(words) and held[at + n] == words[word + n]:
+                    n += 1
+                told = (-n, doc is not None, (doc or "").encode(), at)
+                if n and (best is None or told < best[0]):
+                    best = told, (n, doc, at)
+        return best and best[1]
+
+    expected = {(i, w): found for i, text in tests for w in range(len(text.split())) if (found := plain(w, text.split()))}
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id string, text string").repartition(parts)
+        got = suffixes.longest_matches(df, spark.createDataFrame(tests, "item_id string, text string"))
+        assert {(r.item_id, r.item_word): (r.length, r.doc_id, r.word) for r in got.collect()} == expected
+    assert suffixes.longest_matches(docs.limit(0), items).isEmpty() and suffixes.longest_matches(docs, items.limit(0)).isEmpty()
+
+
 def brute_spans(text):
     patterns = (
         r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
