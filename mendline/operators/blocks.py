@@ -120,20 +120,40 @@ def mark_named_blocks(sales: DataFrame, blocks: DataFrame) -> DataFrame:
     return sales.join(named, same, "left").drop("_block")
 
 
-def fetch_named_blocks(sales: DataFrame, blocks: DataFrame, derived: bool = False) -> DataFrame:
+def collected_spans(blocks: DataFrame) -> list[tuple[str, str | None]] | None:
+    """The months of a stored list of blocks as up to ``RANGES`` ranges of time, exact ones unless there are more; None if one is no month.
+
+    Runs at once, and collects distinct months, of which there are 120,000 at most.
+    """
+    month = F.when(F.col("period").rlike("^[0-9]{4}-(0[1-9]|1[0-2])$"), F.col("period"))
+    return month_spans((row[0] for row in blocks.select(month).distinct().toLocalIterator()), RANGES)
+
+
+def fetch_named_blocks(
+    sales: DataFrame, blocks: DataFrame, derived: bool = False, spans: list[tuple[str, str | None]] | None = None
+) -> DataFrame:
     """Rows whose block is in ``blocks``, for any number of blocks.
 
     The join prunes the directories of a stored table at run time. ``derived`` states that
-    ``period`` is the month of ``sale_ts``; the months then also go to the scan as up to ``RANGES`` ranges of time, exact ones unless there
-    are more. For that the months are collected at once, of which there are 120,000 at most; give it a stored list of blocks.
+    ``period`` is the month of ``sale_ts``; the time from the first to the last of the
+    months then also goes to the scan, as scalar subqueries over ``blocks``, or, given the ``collected_spans`` of ``blocks``, the ranges
+    of the months alone.
     """
-    if derived:
-        month = F.when(F.col("period").rlike("^[0-9]{4}-(0[1-9]|1[0-2])$"), F.col("period"))
-        spans = month_spans((row[0] for row in blocks.select(month).distinct().collect()), RANGES)
-        if spans == []:
-            sales = sales.limit(0)
-        elif spans:  # rows without time are the join's to judge
-            sales = sales.filter(_in_spans(spans) | F.col("sale_ts").isNull())
+    if derived and spans:  # rows without time are the join's to judge
+        sales = sales.filter(_in_spans(spans) | F.col("sale_ts").isNull())
+    elif derived:
+        month = F.coalesce(F.expr("period RLIKE '^[0-9]{4}-(0[1-9]|1[0-2])$' AND period < '9999-12'"), F.lit(False))
+        first = F.when(month, F.to_timestamp_ntz(F.concat("period", F.lit("-01")), F.lit("yyyy-MM-dd")))
+        # A block that is no month, or has no next one, leaves both ends open.
+        known = F.bool_and(month)
+        ends = blocks.agg(
+            F.when(known, F.min(first)).otherwise(instant("0001-01-01 00:00:00")).alias("from"),
+            F.when(known, F.max(first) + F.expr("INTERVAL '1' MONTH"))
+            .otherwise(instant("9999-12-31 23:59:59.999999")).alias("to"),
+        )
+        # Rows without time are the join's to judge. The bounds come bare, as scans filter by no expression of them.
+        for within in (F.col("sale_ts") >= ends.select("from").scalar(), F.col("sale_ts") <= ends.select("to").scalar()):
+            sales = sales.filter(within | F.col("sale_ts").isNull())
     return mark_named_blocks(sales, blocks).filter("_named").drop("_named")
 
 

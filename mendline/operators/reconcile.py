@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import AMOUNT
 from ..scratch import materialise
-from .blocks import fetch_named_blocks
+from .blocks import collected_spans, fetch_named_blocks
 from .content import ROW
 from .delta import block_delta
 
@@ -144,7 +144,10 @@ def reconciled_delta(
     empty sides are as in ``block_delta``, but that a NULL period comes out as the empty one, as they are one block. Keys have 128 bits and the check 64, both
     against accidents only: nobody can be kept from making two rows with one key on purpose. ``derived`` is as for ``fetch_named_blocks``.
     """
-    named = lambda blocks: (fetch_named_blocks(source, blocks, derived), fetch_named_blocks(target, blocks))
+    def named(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        spans = collected_spans(blocks) if derived else None
+        return fetch_named_blocks(source, blocks, derived, spans), fetch_named_blocks(target, blocks)
+
     left, keys = differing.select("period"), None
     for cells in sizes:
         told = materialise(differing_keys(*named(left), cells), "keys")

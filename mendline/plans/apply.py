@@ -9,7 +9,7 @@ from itertools import islice
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.texts import block_message
-from ..operators.blocks import fetch_blocks, fetch_named_blocks
+from ..operators.blocks import collected_spans, fetch_blocks, fetch_named_blocks
 from ..operators.headers import block_headers
 from ..schema import SKIP
 from ..scratch import materialise
@@ -148,7 +148,8 @@ def apply_plan(
         return results
     failures: list[tuple[str, str]] = []
     try:
-        target.replace(fetch_named_blocks(source, changed, derived), layout)
+        spans = collected_spans(changed) if derived else None
+        target.replace(fetch_named_blocks(source, changed, derived, spans), layout)
     except CommitConflict:
         raise
     except Exception:

@@ -194,13 +194,13 @@ def test_far_months_are_ranges_of_their_own(spark, sales, tmp_path):
     rows.drop("period").repartitionByRange(96, "sale_ts").write.parquet(str(tmp_path / "flat"))
     stored = spark.read.parquet(str(tmp_path / "flat")).withColumn("period", F.date_format("sale_ts", "yyyy-MM"))
     named = spark.createDataFrame([("1992-03",), ("1999-05",)], "period string")
-    fetched = blocks.fetch_named_blocks(stored, named, derived=True)
+    fetched = blocks.fetch_named_blocks(stored, named, True, blocks.collected_spans(named))
     assert sorted(r.period for r in fetched.collect()) == ["1992-03", "1999-05"]
     scan = fetched._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [Or(" in scan
     for many in (months[::2], months[::-3]):
         wanted = spark.createDataFrame([(p,) for p in many], "period string")
-        assert blocks.fetch_named_blocks(stored, wanted, derived=True).count() == len(many)
+        assert blocks.fetch_named_blocks(stored, wanted, True, blocks.collected_spans(wanted)).count() == len(many)
 
 
 def test_more_blocks_than_any_list(spark, sales):
