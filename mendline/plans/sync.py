@@ -10,11 +10,12 @@ from ..functions.periods import check_request
 from ..operators.headers import block_headers, header_equality
 from ..operators import reconcile, tree
 from ..operators.blocks import fetch_named_blocks
+from ..operators.files import files_to_rewrite
 from ..operators.perturb import perturb_block
 from ..schema import INSERT, REPAIR, SKIP
 from ..scratch import materialise, scratch_path
 from ..sources.header_log import HeaderLog
-from ..sources.snapshot import CommitConflict
+from ..sources.snapshot import CommitConflict, SnapshotTable, file_name
 from ..sources.table import KEEP, REBALANCE, BlockTable
 from . import apply, compare, diagnostics, plan, report, status
 
@@ -104,12 +105,15 @@ class TableSync:
                 if attempt == attempts:
                     raise
 
-    def patch(self, sizes: Sequence[int] = reconcile.SIZES, attempts: int = 10) -> DataFrame:
+    def patch(self, sizes: Sequence[int] = reconcile.SIZES, attempts: int = 10, by_file: bool = False) -> DataFrame:
         """Bring the target up to date row by row, and return the rows of repaired blocks that differed, with ``copies``.
 
         Blocks that differ by ``digest`` are reconciled: the sides exchange tables of ``sizes`` cells, and the source is asked for the missing rows only.
-        Inserted blocks are copied. A stored block is still rewritten as a whole, from the target's own rows and the missing ones.
+        Inserted blocks are copied. A stored block is still rewritten as a whole, from the target's own rows and the missing ones; with ``by_file``,
+        which needs a target with versions, only those of its files that hold rows to be taken away are, and missing rows come in new files.
         """
+        if by_file and not isinstance(self.target, SnapshotTable):
+            raise TypeError("only a target with versions can be repaired by file")
         for attempt in range(1, attempts + 1):
             target = self.target.pinned()
             actions = materialise(plan.sync_plan(self.source_headers(), self._headers(target)), "plan")
@@ -117,9 +121,16 @@ class TableSync:
             delta = materialise(reconcile.reconciled_delta(self.source_rows(), target.read(), differing, sizes, self.derived), "delta")
             if actions.where(F.col("action") != SKIP).isEmpty():
                 return delta
-            rows = reconcile.patched_blocks(target.read(), delta).unionByName(fetch_named_blocks(self.source_rows(), inserted, self.derived))
+            new = fetch_named_blocks(self.source_rows(), inserted, self.derived)
             try:
-                target.replace(materialise(rows, "patched"))
+                if by_file:
+                    found = files_to_rewrite(target.read_files(), delta)
+                    files = [file_name(row.file) for row in found.toLocalIterator()]
+                    old = target.read_files(files).drop("file")
+                    target.rewrite(files, reconcile.patched_blocks(old, delta).unionByName(new))
+                else:
+                    rows = reconcile.patched_blocks(target.read(), delta).unionByName(new)
+                    target.replace(materialise(rows, "patched"))
                 return delta
             except CommitConflict:
                 if attempt == attempts:

@@ -318,6 +318,7 @@ WHERE period IN (SELECT period FROM plan WHERE action = 'REPAIR')
 GROUP BY {COLUMNS} HAVING sum(side) <> 0""",
     ),
     "sync_patch": _with(S, T, HS, HT, PLAN, SYNCED, select=f"SELECT {COLUMNS} FROM synced"),
+    "file_patch": _with(S, T, HS, HT, PLAN, SYNCED, select=f"SELECT {COLUMNS} FROM synced"),
     "sync_merge": _with(S, T, HS, HT, PLAN, SYNCED, select=f"SELECT {COLUMNS} FROM synced"),
     "resync_plan": _with(
         S, T, HS, HT, PLAN, SYNCED, _headers("HN", "synced"), _plan("HS", "HN", "again"),

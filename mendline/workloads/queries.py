@@ -296,6 +296,17 @@ def sync_patch(spark, sf_dir):
     return sync.target.read()
 
 
+@query
+def file_patch(spark, sf_dir):
+    """A target with versions, of several files a block, after a repair that wrote only the files with rows to be taken away anew."""
+    target, rows = SnapshotTable(spark, scratch_path(spark, "files")), retail.target_sales(spark, sf_dir)
+    low = F.coalesce(F.col("line_no") <= 2, F.lit(True))
+    target.append(rows.where(low))
+    target.append(rows.where(~low))
+    TableSync(retail.source_sales(spark, sf_dir), target, derived=True).patch(by_file=True)
+    return target.read()
+
+
 @query
 def sync_merge(spark, sf_dir):
     changed = materialise(plan.changed_blocks(plan.sync_plan(*_headers(spark, sf_dir))), "changed")
