@@ -14,8 +14,9 @@ from ..operators.files import files_to_rewrite
 from ..operators.perturb import perturb_block
 from ..schema import INSERT, REPAIR, SKIP
 from ..scratch import materialise, scratch_path
+from ..sources.file_log import FileLog
 from ..sources.header_log import HeaderLog
-from ..sources.snapshot import CommitConflict, SnapshotTable, file_name
+from ..sources.snapshot import CommitConflict, SnapshotTable
 from ..sources.table import KEEP, REBALANCE, BlockTable
 from . import apply, compare, diagnostics, plan, report, status
 
@@ -36,7 +37,7 @@ class TableSync:
         source: BlockTable | DataFrame,
         target: BlockTable,
         digest: str = "md5",
-        header_log: HeaderLog | None = None,
+        header_log: HeaderLog | FileLog | None = None,
         derived: bool = False,
     ):
         self.source = source
@@ -125,7 +126,7 @@ class TableSync:
             try:
                 if by_file:
                     found = files_to_rewrite(target.read_files(), delta)
-                    files = [file_name(row.file) for row in found.toLocalIterator()]
+                    files = [row.file for row in found.toLocalIterator()]
                     old = target.read_files(files).drop("file")
                     target.rewrite(files, reconcile.patched_blocks(old, delta).unionByName(new))
                 else:

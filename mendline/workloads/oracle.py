@@ -240,6 +240,11 @@ FROM (SELECT o_orderkey AS request_id,
              CASE WHEN o_orderkey % 29 <> 0 THEN CAST(o_orderkey % 15 AS INTEGER) END AS month FROM orders)""",
     "headers_source": _with(S, HS, select="SELECT * FROM HS"),
     "headers_target": _with(S, T, HT, select="SELECT * FROM HT"),
+    "headers_of_files": _with(S, T, HT, select="SELECT * FROM HT"),
+    "files_between": _with(
+        S, T,
+        select=f"SELECT {COLUMNS} FROM T WHERE sale_ts >= TIMESTAMP '1995-01-20' AND sale_ts < TIMESTAMP '1995-02-24'",
+    ),
     "headers_streamed": _with(S, HS, select="SELECT * FROM HS"),
     "headers_sha256": _with(S, _headers("H2", "S", "sha256"), select="SELECT * FROM H2"),
     "header_equality": _with(

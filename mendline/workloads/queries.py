@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import datetime
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,6 +15,7 @@ from ..plans import diagnostics as diagnosis
 from ..plans.sync import TableSync
 from ..schema import REPAIR
 from ..scratch import materialise, scratch_path
+from ..sources.file_log import FileLog
 from ..sources.result_log import ResultLog
 from ..sources.snapshot import CommitConflict, SnapshotTable
 from ..sources.table import BlockTable
@@ -296,13 +298,36 @@ def sync_patch(spark, sf_dir):
     return sync.target.read()
 
 
+def target_by_files(spark: SparkSession, sf_dir: str) -> Iterator[SnapshotTable]:
+    """The target with versions and several files a block: once with a part of its rows, and once with all."""
+    target, rows = SnapshotTable(spark, scratch_path(spark, "files")), retail.target_sales(spark, sf_dir)
+    low = F.coalesce(F.col("line_no") <= 2, F.lit(True))
+    for part in (low, ~low):
+        target.append(rows.where(part))
+        yield target
+
+
+@query
+def headers_of_files(spark, sf_dir):
+    """Headers of a target that grew, from figures per file; the second time only the new files are read."""
+    log = FileLog(spark, scratch_path(spark, "file-log"))
+    for target in target_by_files(spark, sf_dir):
+        found = log.headers(target)
+    return found
+
+
+@query
+def files_between(spark, sf_dir):
+    """Rows of five weeks that begin and end within a month, from the files that may hold any."""
+    *_, target = target_by_files(spark, sf_dir)
+    log = FileLog(spark, scratch_path(spark, "file-log"))
+    return log.between(target, datetime(1995, 1, 20), datetime(1995, 2, 24))
+
+
 @query
 def file_patch(spark, sf_dir):
     """A target with versions, of several files a block, after a repair that wrote only the files with rows to be taken away anew."""
-    target, rows = SnapshotTable(spark, scratch_path(spark, "files")), retail.target_sales(spark, sf_dir)
-    low = F.coalesce(F.col("line_no") <= 2, F.lit(True))
-    target.append(rows.where(low))
-    target.append(rows.where(~low))
+    *_, target = target_by_files(spark, sf_dir)
     TableSync(retail.source_sales(spark, sf_dir), target, derived=True).patch(by_file=True)
     return target.read()
 
