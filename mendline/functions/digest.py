@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -32,6 +32,22 @@ def block_hash(amount_sum: Column, row_count: Column, digest: str = "md5") -> Co
     return F.when(row_count == 0, F.lit("")).otherwise(DIGESTS[digest](text))
 
 
+#: Bits of a piece of a number that is summed up: 2^41 rows fit into a sum.
+PIECE = 22
+
+
+def pieces(number: Column) -> tuple[Column, Column, Column]:
+    """A number of 64 bits as three small ones, lowest first, of which the highest has the sign: sums of these take a fraction of the time of sums of decimals."""
+    low = F.lit((1 << PIECE) - 1)
+    return number.bitwiseAND(low), F.shiftright(number, PIECE).bitwiseAND(low), F.shiftright(number, 2 * PIECE)
+
+
+def joined(sums: Sequence[Column]) -> Column:
+    """The exact sum of numbers, from the sums of their pieces."""
+    low, middle, high = ((part.cast("decimal(19,0)") * F.lit(1 << (PIECE * i)).cast("decimal(14,0)")) for i, part in enumerate(sums))
+    return (low + middle + high).cast("decimal(38,0)")
+
+
 def content_hash(high_sum: Column, low_sum: Column, row_count: Column) -> Column:
     """MD5 of the figures of a bag of rows; an empty block has the empty hash."""
     text = F.concat_ws("|", *(x.cast("string") for x in (high_sum, low_sum, row_count)))

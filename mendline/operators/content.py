@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.digest import content_hash
+from ..functions.digest import content_hash, joined, pieces
 from ..schema import AMOUNT_SUM
 from .headers import by_block
 
@@ -30,8 +30,13 @@ def row_mark(columns: Sequence[str] = ROW) -> Column:
     return F.md5(F.concat_ws("|", *fields).cast("binary"))
 
 
+def sum_of(number: Column) -> Column:
+    """The exact sum of numbers of 64 bits."""
+    return joined([F.sum(part) for part in pieces(number)])
+
+
 def _number(mark: Column, first: int) -> Column:
-    return F.conv(F.substring(mark, first, 15), 16, 10).cast("decimal(19,0)")
+    return F.conv(F.substring(mark, first, 15), 16, 10).cast("bigint")
 
 
 def bag_figures(mark: Column) -> tuple[Column, ...]:
@@ -39,8 +44,8 @@ def bag_figures(mark: Column) -> tuple[Column, ...]:
     return (
         F.count(F.lit(1)).alias("row_count"),
         F.coalesce(F.sum("amount"), F.lit(0)).cast(AMOUNT_SUM).alias("amount_sum"),
-        F.coalesce(F.sum(_number(mark, 1)), F.lit(0)).cast("decimal(38,0)").alias("high_sum"),
-        F.coalesce(F.sum(_number(mark, 17)), F.lit(0)).cast("decimal(38,0)").alias("low_sum"),
+        F.coalesce(sum_of(_number(mark, 1)), F.lit(0)).cast("decimal(38,0)").alias("high_sum"),
+        F.coalesce(sum_of(_number(mark, 17)), F.lit(0)).cast("decimal(38,0)").alias("low_sum"),
     )
 
 

@@ -1,17 +1,19 @@
 """A tree of digests: month, day, and bucket of sale ids. Only nodes that differ are looked into.
 
-A node's digest is that of the bag of its rows (``content``), so a node has the sum of its children's and each level is told apart by one aggregation. The first level
-compares months; the second reads only the differing months, and the third groups only their differing days by bucket. What is left are
-the leaves: about ``1 / (30 * buckets)`` of a month each, which is what a repair has to fetch from the source.
+A node's digest is its row count and the sums of both halves of its rows' keys (``reconcile``), so a node has the sum of its children's. Each side reads its rows once, for the digests of its leaves, which are
+stored; months and days are added up from these. The first level compares months, the second the days of the differing months, and the third the buckets of their differing days. What is left are
+the leaves: about ``1 / (30 * buckets)`` of a month each, which is what a repair has to fetch from the source. Shuffled: a row per task and leaf.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.periods import period_of
 from ..scratch import materialise
-from .blocks import fetch_named_blocks
-from .content import bag_figures, row_mark
+from .blocks import collected_spans, fetch_named_blocks
+from .content import sum_of
+from .reconcile import with_key
 
 BUCKETS = 16
 LEAF = ("period", "day", "bucket")
@@ -35,9 +37,24 @@ def with_leaf(sales: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     )
 
 
-def _nodes(rows: DataFrame, level: int) -> DataFrame:
-    keys = [F.col(f"_{name}").alias(name) for name in LEAF[:level]]
-    return rows.withColumn("_mark", row_mark()).groupBy(*keys).agg(*bag_figures(F.col("_mark"))).drop("amount_sum")
+def leaf_digests(sales: DataFrame, buckets: int = BUCKETS, derived: bool = False) -> DataFrame:
+    """``(period, day, bucket, row_count, high_sum, low_sum)`` of the leaves, by the names that ``with_leaf`` gives; rows are read once.
+
+    Rows are grouped by date and, unless ``derived``, block; only the groups are given their names.
+    """
+    keys = [F.to_date("sale_ts").alias("_date"), bucket_of(F.col("sale_id"), buckets).alias("bucket")]
+    if not derived:
+        keys.append(F.coalesce("period", F.lit("")).alias("_block"))
+    figures = (F.count(F.lit(1)).alias("row_count"), *(sum_of(F.col(half)).alias(name) for half, name in zip(("_high", "_low"), _DIGEST[1:])))
+    leaves = with_key(sales).groupBy(*keys).agg(*figures)
+    period = F.coalesce(period_of(F.col("_date")), F.lit("")) if derived else F.col("_block")
+    day = F.coalesce(F.date_format("_date", "yyyy-MM-dd"), F.lit(""))
+    return leaves.select(period.alias("period"), day.alias("day"), "bucket", *_DIGEST)
+
+
+def _nodes(leaves: DataFrame, level: int) -> DataFrame:
+    kinds = {f.name: f.dataType for f in leaves.schema}
+    return leaves.groupBy(*LEAF[:level]).agg(*(F.sum(name).cast(kinds[name]).alias(name) for name in _DIGEST))
 
 
 def _differing(source: DataFrame, target: DataFrame, level: int) -> DataFrame:
@@ -48,7 +65,7 @@ def _differing(source: DataFrame, target: DataFrame, level: int) -> DataFrame:
     for name in _DIGEST:
         same = same & F.col(f"s_{name}").eqNullSafe(F.col(f"t_{name}"))
     rows = (F.coalesce(f"{side}_row_count", F.lit(0)).cast("bigint").alias(name) for side, name in (("s", "source_rows"), ("t", "target_rows")))
-    return materialise(pairs.where(~same).select(*LEAF[:level], *rows), f"level-{level}")
+    return pairs.where(~same).select(*LEAF[:level], *rows)
 
 
 def _in_nodes(rows: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
@@ -65,15 +82,16 @@ def differing_leaves(source: DataFrame, target: DataFrame, buckets: int = BUCKET
 
     ``derived`` is as for ``fetch_named_blocks``.
     """
-    months = _differing(with_leaf(source, buckets), with_leaf(target, buckets), 1)
-    sides = [with_leaf(fetch_named_blocks(side, months, own), buckets) for side, own in ((source, derived), (target, False))]
-    days = _differing(*sides, 2)
-    return _differing(*(_in_nodes(side, days, 2).where("_there") for side in sides), 3)
+    sides = [materialise(leaf_digests(side, buckets, own), "leaves") for side, own in ((source, derived), (target, False))]
+    for level in (1, 2):
+        differing = _differing(*sides, level).select(*LEAF[:level])
+        sides = [side.join(differing, list(LEAF[:level]), "left_semi") for side in sides]
+    return materialise(_differing(*sides, 3), "differing-leaves")
 
 
 def fetch_leaves(sales: DataFrame, leaves: DataFrame, buckets: int = BUCKETS, derived: bool = False) -> DataFrame:
     """The rows of the leaves; other months are not read."""
-    rows = with_leaf(fetch_named_blocks(sales, leaves, derived), buckets)
+    rows = with_leaf(fetch_named_blocks(sales, leaves, derived, collected_spans(leaves) if derived else None), buckets)
     return _in_nodes(rows, leaves, 3).where("_there").select(*sales.columns)
 
 
