@@ -3,30 +3,33 @@
 Each row is added to three cells of its block's invertible Bloom table: its copies, the two halves of its key, and a check number are summed up. The tables of both
 sides are subtracted cell by cell, so that equal rows cancel out whatever their number, and what is left is peeled: a cell that only copies of one row are
 left in names that row, which is then taken out of its other cells. A table of ``n`` cells tells about ``0.8 n`` different rows; what is shuffled is one
-row per task and cell, and depends on the size of the table, not of the block. A block whose table does not peel gets a larger one, and one that is too
-different for the largest is compared row by row.
+row per task and cell, and depends on the size of the table, not of the block. A table that does not peel still tells about how many rows differ, by the squares of its
+check numbers: the block gets the first larger table that takes so many, and one that is too different for the largest is compared row by row at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.digest import joined, pieces
 from ..schema import AMOUNT
 from ..scratch import materialise
-from .blocks import collected_spans, fetch_named_blocks
+from .blocks import collected_names, collected_spans, fetch_named_blocks
 from .content import ROW
 from .delta import block_delta
 
-#: Cells per block, attempt by attempt. Each attempt reads the blocks that the one before has left.
+#: Cells per block. All blocks begin with the first; each further attempt reads only blocks that it is expected to solve.
 SIZES = (240, 3_840, 61_440)
 _PLACES = 3
 _PLACE_BITS = 20
 _HALF = 1 << 63
 _FIGURES = ("copies", "high", "low", "check_sum")
+#: Different rows per cell that a table is expected to tell, less than it can, as they are estimated.
+_LOAD = 0.7
 _PEELED = "period string, high bigint, low bigint, copies bigint, solved boolean"
 
 
@@ -62,9 +65,13 @@ def _cells(sales: DataFrame, third: int, side: int) -> DataFrame:
         (F.shiftrightunsigned("_check", _PLACE_BITS * i).bitwiseAND(F.lit(bits)) % third + i * third).cast("int") for i in range(_PLACES)
     ]
     # The numbers are made before the rows are repeated.
-    numbers = ((F.col(name).cast("decimal(20,0)") * F.lit(side)).cast("decimal(20,0)").alias(alias) for name, alias in zip(("_high", "_low", "_check"), _FIGURES[1:]))
+    numbers = (
+        (part * F.lit(side)).alias(f"{alias}_{i}")
+        for name, alias in zip(("_high", "_low", "_check"), _FIGURES[1:])
+        for i, part in enumerate(pieces(F.col(name)))
+    )
     made = checked.select("period", F.lit(side).alias("copies"), *numbers, F.array(*places).alias("places"))
-    return made.select("period", *_FIGURES, F.explode("places").alias("cell"))
+    return made.withColumn("cell", F.explode("places")).drop("places")
 
 
 def table_difference(source: DataFrame, target: DataFrame, cells: int) -> DataFrame:
@@ -74,7 +81,8 @@ def table_difference(source: DataFrame, target: DataFrame, cells: int) -> DataFr
     """
     third = _third(cells)
     both = _cells(source, third, 1).unionByName(_cells(target, third, -1))
-    summed = both.groupBy("period", "cell").agg(*(F.sum(name).alias(name) for name in _FIGURES))
+    sums = (joined([F.sum(f"{name}_{i}") for i in range(3)]).alias(name) for name in _FIGURES[1:])
+    summed = both.groupBy("period", "cell").agg(F.sum("copies").alias("copies"), *sums)
     return summed.where(" OR ".join(f"{name} <> 0" for name in _FIGURES))
 
 
@@ -109,18 +117,28 @@ def peel(cells: dict[int, list[int]], third: int) -> dict[tuple[int, int], int]
     return {key: copies for key, copies in found.items() if copies}
 
 
+def estimate(checks: Iterable[int]) -> int:
+    """About how many rows differ, by the check numbers of a whole table: the sum of the squares of their copies.
+
+    A check number is as good as random, so the expected square of a cell is the sum of those of its rows, 2^126 / 3 each, and every row is in three cells.
+    """
+    return round(sum((check / _HALF) ** 2 for check in checks))
+
+
 def _peel_blocks(third: int):
     def peel_block(rows: pd.DataFrame) -> pd.DataFrame:
+        about = min(estimate(int(x) for x in rows["check_sum"]), _HALF - 1)
         cells = {int(cell): [int(x) for x in figures] for cell, *figures in zip(rows["cell"], *(rows[name] for name in _FIGURES))}
         found, period = peel(cells, third), rows["period"].iloc[0]
-        told = [(period, None, None, None, False)] if found is None else [(period, *key, copies, True) for key, copies in found.items()]
+        told = [(period, None, None, about, False)] if found is None else [(period, *key, copies, True) for key, copies in found.items()]
         return pd.DataFrame(told, columns=["period", "high", "low", "copies", "solved"]).astype({name: "Int64" for name in ("high", "low", "copies")})
 
     return peel_block
 
 
 def differing_keys(source: DataFrame, target: DataFrame, cells: int) -> DataFrame:
-    """``(period, high, low, copies, solved)``: keys of rows that differ, and one row that is not ``solved`` for each block that did not peel.
+    """``(period, high, low, copies, solved)``: keys of rows that differ, and one row that is not ``solved`` for each block that did not peel,
+    whose ``copies`` are about how many rows differ.
 
     A group is the cells of one block, of which there are at most ``cells``.
     """
@@ -145,25 +163,27 @@ def reconciled_delta(
     against accidents only: nobody can be kept from making two rows with one key on purpose. ``derived`` is as for ``fetch_named_blocks``.
     """
     def named(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-        spans = collected_spans(blocks) if derived else None
-        return fetch_named_blocks(source, blocks, derived, spans), fetch_named_blocks(target, blocks)
+        spans, names = collected_spans(blocks) if derived else None, collected_names(blocks)
+        return fetch_named_blocks(source, blocks, derived, spans, names), fetch_named_blocks(target, blocks, names=names)
 
-    left, keys = differing.select("period"), None
+    left, keys = differing.select("period", F.lit(0).alias("about")), None
     for cells in sizes:
-        told = materialise(differing_keys(*named(left), cells), "keys")
-        solved = told.where("solved")
+        suited = F.col("about") <= F.lit(_LOAD * cells)
+        if keys is not None and left.where(suited).isEmpty():
+            continue
+        told = materialise(differing_keys(*named(left.where(suited)), cells), "keys")
+        solved, unsolved = told.where("solved"), told.where("NOT solved").select("period", F.col("copies").alias("about"))
         keys = solved if keys is None else keys.unionByName(solved)
-        left = told.where("NOT solved").select("period")
-        if left.isEmpty():
-            break
-    blocks = keys.select("period").distinct()
+        left = unsolved.unionByName(left.where(~suited))
+    blocks, parts = keys.select("period").distinct(), []
     row = [*ROW, F.coalesce("period", F.lit("")).alias("period")]
-    parts = [
-        with_copies(side, keys.where(way)).where("copies IS NOT NULL").select(*row, "copies").distinct()
-        for side, way in zip(named(blocks), ("copies > 0", "copies < 0"))
-    ]
     if not left.isEmpty():
         parts.append(block_delta(*(side.select(*row) for side in named(left))))
+    if not (parts and blocks.isEmpty()):
+        parts += [
+            with_copies(side, keys.where(way)).where("copies IS NOT NULL").select(*row, "copies").distinct()
+            for side, way in zip(named(blocks), ("copies > 0", "copies < 0"))
+        ]
     delta = parts[0]
     for part in parts[1:]:
         delta = delta.unionByName(part)

@@ -120,3 +120,31 @@ def test_what_is_shuffled_does_not_grow_with_the_block(spark, wide):
     text = plan_text(left)
     assert text.index("HashAggregate") < text.index("Exchange") and "SortAggregate" not in text
     assert text.count("Exchange") == 1
+
+
+def test_no_table_is_tried_that_cannot_be_enough(monkeypatch, spark, wide):
+    """A block with far too many different rows is compared row by row at once, one with some more gets the table that fits."""
+    tried, difference = [], reconcile.table_difference
+    monkeypatch.setattr(reconcile, "table_difference", lambda s, t, cells: (tried.append(cells), difference(s, t, cells))[1])
+    target = wide.where("sale_id % 2 = 0")
+    both = blocks_of(spark, "2023-01", "2023-02")
+    delta = reconcile.reconciled_delta(wide, target, both, (30, 45, 60))
+    mine = lambda df: df.where("period <> '2023-03'")
+    assert rows_of(delta) == rows_of(block_delta(mine(wide), mine(target)))
+    assert tried == [30]
+    tried.clear()
+    delta = reconcile.reconciled_delta(wide, target, both, (30, 45, 1200))
+    assert rows_of(delta) == rows_of(block_delta(mine(wide), mine(target)))
+    assert tried == [30, 1200]
+
+
+def test_other_blocks_go_before_joins(spark, sales):
+    rows = sales((1, "2023-01", 5), (2, "", 7), (3, None, 1), (4, "2023-02", 2)).repartition(2)
+    for periods in (["2023-01"], ["2023-01", ""], [None, "2023-02"], ["no"], []):
+        some = spark.createDataFrame([(p,) for p in periods], "period string")
+        names = reconcile.collected_names(some)
+        assert rows_of(reconcile.fetch_named_blocks(rows, some, names=names)) == rows_of(reconcile.fetch_named_blocks(rows, some))
+    named = blocks_of(spark, "2023-01")
+    looked_up = rows.join(spark.createDataFrame([(1, "z")], "sale_id bigint, more string"), "sale_id", "left")
+    plan = reconcile.fetch_named_blocks(looked_up, named, names=["2023-01"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("= 2023-01)")
