@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.periods import check_request
 from ..operators.headers import block_headers, header_equality
 from ..operators import reconcile, tree
-from ..operators.blocks import fetch_named_blocks
+from ..operators.blocks import collected_spans, fetch_named_blocks
 from ..operators.files import files_to_rewrite
 from ..operators.perturb import perturb_block
 from ..schema import INSERT, REPAIR, SKIP
@@ -122,7 +122,7 @@ class TableSync:
             delta = materialise(reconcile.reconciled_delta(self.source_rows(), target.read(), differing, sizes, self.derived), "delta")
             if actions.where(F.col("action") != SKIP).isEmpty():
                 return delta
-            new = fetch_named_blocks(self.source_rows(), inserted, self.derived)
+            new = fetch_named_blocks(self.source_rows(), inserted, self.derived, collected_spans(inserted) if self.derived else None)
             try:
                 if by_file:
                     found = files_to_rewrite(target.read_files(), delta)
