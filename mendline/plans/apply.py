@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -67,14 +68,30 @@ def _kind_of(error: Exception) -> str:
     return re.sub("[0-9]+", "0", _text_of(error).partition("\n")[0])
 
 
-def _copy_isolated(spark: SparkSession, periods: list[str], outcome: _Outcome) -> Iterator[tuple[str, str]]:
-    """Copy the blocks in one job; if it fails, copy each half on its own.
+@contextmanager
+def _without_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Joins of the plans made meanwhile send no table to the driver: jobs that only find out which blocks are bad would send the same ones over and over."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name in names:
+            spark.conf.set(name, "-1")
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def _copy_isolated(spark: SparkSession, periods: list[str], outcome: _Outcome, cause: Exception | None = None) -> Iterator[tuple[str, str]]:
+    """Copy the blocks in one job; if it fails, copy each half on its own. ``cause`` is the error of a job that has tried them already.
 
     One bad block among n costs about 2 log2(n) jobs and copies every good block about
     twice at most, instead of one job per block. Yields the blocks that fail alone,
     with the error; raises once it is clear that no block is to blame.
     """
     try:
+        if cause:
+            raise cause
         outcome.put(periods)
     except CommitConflict:
         raise  # the plan is out of date, whatever the block
@@ -152,12 +169,17 @@ def apply_plan(
         target.replace(fetch_named_blocks(source, changed, derived, spans), layout)
     except CommitConflict:
         raise
-    except Exception:
-        if not isolate or source.sparkSession.sparkContext._jsc.sc().isStopped():
+    except Exception as error:
+        spark = source.sparkSession
+        if not isolate or spark.sparkContext._jsc.sc().isStopped():
             raise
-        _reachable(source, target)
-        periods = (row.period for row in changed.toLocalIterator())
-        copy = lambda some: target.replace(fetch_blocks(source, some, derived), layout)
-        while some := list(islice(periods, TRIED)):
-            failures.extend(_copy_isolated(source.sparkSession, some, _Outcome(copy, some)))
+        with _without_broadcasts(spark):
+            _reachable(source, target)
+            periods = (row.period for row in changed.toLocalIterator())
+            copy = lambda some: target.replace(fetch_blocks(source, some, derived), layout)
+            some, more = list(islice(periods, TRIED)), list(islice(periods, TRIED))
+            cause = None if more else error  # all blocks together have failed already
+            while some:
+                failures.extend(_copy_isolated(spark, some, _Outcome(copy, some), cause))
+                some, more = more, list(islice(periods, TRIED))
     return materialise(_checked(results, target, failures, digest), "results")

@@ -368,3 +368,16 @@ def test_scratch_is_cleared(monkeypatch, spark, tmp_path):
         clear_scratch(spark)
         assert [p.name for p in tmp_path.iterdir()] == ["other"]
     clear_scratch(spark)
+
+
+def test_isolation_sends_no_tables_to_the_driver(monkeypatch, table, generated):
+    """Nor are all blocks tried a second time; the settings are as before afterwards."""
+    target, calls, name = table(), [], "spark.sql.autoBroadcastJoinThreshold"
+    plan, conf, replace = sync_plan(TableSync(generated, target).source_headers(), target.headers()), target.spark.conf, target.replace
+    before = conf.get(name)
+    counted = lambda rows, layout: (calls.append((conf.get(name), rows.count() if calls else None)), replace(rows, layout))
+    monkeypatch.setattr(target, "replace", counted)
+    results = apply_plan(plan, broken(generated, "2022-05"), target, isolate=True)
+    assert [r.period for r in results.where("failed").collect()] == ["2022-05"]
+    assert calls[0][0] == before == conf.get(name) and {c for c, _ in calls[1:]} == {"-1"}
+    assert max(n for _, n in calls[1:]) < generated.count()
