@@ -4,11 +4,12 @@ Two texts are alike if their sets of ``SHINGLE`` (5) words in a row have a Jacca
 membership in a component of alike texts, so pairs are never written: every step hands on a spanning forest of what it found.
 
 1. Texts with equal sets are one class, named by a hash of the set.
-2. Each class gets ``WIDTH`` SimHash fingerprints of 64 bits over its set, cut into blocks of ``KEY_BITS`` bits. As in
-   ``pivots``, equal distances on a block to its one-bit pivots mean equal bits, so the bits of a block serve as the join key.
-   At similarity 0.8 the sets have a cosine of 0.889, a bit is equal with probability 0.848, and one
+2. Each class gets ``WIDTH`` SimHash fingerprints of 64 bits over its set, cut into blocks of ``KEY_BITS`` bits. A table holds the distances of every block of bits to
+   ``PIVOTS`` reference blocks (pivots); the tuple of these distances is the join key of the block. Equal blocks have equal distances, so no pair that agrees on a block is lost;
+   these twelve pivots tell all blocks apart, so a key holds no others. At similarity 0.8 the sets have a cosine of 0.889, a bit is equal with probability 0.848, and one
    of the 64 blocks with probability 0.992; at 0.85 it is 0.9994.
-3. Within a key, classes within ``RADIUS`` of the first 192 bits are near (the expected number is 29 with a deviation of 5 at similarity 0.8, and
+3. Within a key, pairs are first discarded by their distances to the pivots: on a block two classes differ in at least as many bits as their distances to any pivot do, so
+   the largest such differences, summed over the blocks, may not pass ``RADIUS``. Of what is left, classes within ``RADIUS`` of the first 192 bits are near (the expected number is 29 with a deviation of 5 at similarity 0.8, and
    96 with 7 for unrelated texts). A key of few classes gives all such pairs; in a larger one a search grows each group from one member, compares only with those
    that no group has yet, and gives one link for each member. The first ``FIRST`` blocks go before: what they join counts as one afterwards.
 4. Components of these links are crowds. Every two classes of a crowd are compared by their sets, whether or not they share a key:
@@ -50,6 +51,8 @@ SEEN = 3
 RADIUS = 50
 #: Blocks of bits that are joined before the others.
 FIRST = 8
+#: Reference blocks of bits, to which distances are kept.
+PIVOTS = 12
 #: A key of so many classes is compared pair by pair.
 FEW = 32
 #: Classes and hashes in a block of a crowd.
@@ -65,6 +68,18 @@ LOCAL = 2_000_000
 _SPREAD = np.ascontiguousarray(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")).view(np.uint64).reshape(-1)
 
 
+def _pivot_table() -> tuple[np.ndarray, np.ndarray]:
+    """For each block of bits, its distances to the pivots, and a number for the tuple of these."""
+    drawn = [xxhash.xxh3_64_intdigest(f"pivot block {i}") & ((1 << KEY_BITS) - 1) for i in range(PIVOTS)]
+    blocks = np.arange(1 << KEY_BITS, dtype=np.uint16)
+    distances = np.bitwise_count(blocks[:, None] ^ np.array(drawn, dtype=np.uint16))
+    packed = (distances.astype(np.uint64) << (np.uint64(5) * np.arange(PIVOTS, dtype=np.uint64))).sum(axis=1)
+    return distances.astype(np.int8), np.unique(packed, return_inverse=True)[1].astype(np.int32)
+
+
+DISTANCES, CELLS = _pivot_table()
+
+
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     hashes, n = shingle_hashes(texts, size)
@@ -104,12 +119,12 @@ def _printed(rows: Iterator[pa.RecordBatch], size: int, width: int) -> Iterator[
 
 
 def _keys(rows: Iterator[pa.RecordBatch], width: int, first: int, last: int) -> Iterator[pa.RecordBatch]:
-    """A row for each of some blocks of each class: number and bits of the block, the class's label, its first fingerprints."""
+    """A row for each of some blocks of each class: number of the block and of its distances to the pivots, the class's label, its first fingerprints."""
     for batch in rows:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             prints = np.frombuffer(b"".join(part.column("prints").to_pylist()), np.uint64).reshape(-1, width)
-            blocks = prints.view(np.uint16).astype(np.int32)[:, first:last]
+            blocks = CELLS[prints.view(np.uint16)[:, first:last]]
             key = blocks + (np.arange(first, min(last, first + blocks.shape[1]), dtype=np.int32) << KEY_BITS)
             label = part.column("label").to_numpy(zero_copy_only=False)
             again = lambda x: pa.array(np.repeat(x, blocks.shape[1]))  # noqa: B023, E731
@@ -138,20 +153,33 @@ def _apart(prints: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[i] ^ prints[j]).sum(axis=-1, dtype=np.int16)
 
 
+def _may_be_near(near: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
+    """Whether the distances to the pivots (``near``: row, block, pivot) leave it open that two rows are within ``radius``; by the triangle inequality on each block."""
+    return np.abs(near[i] - near[j]).max(axis=-1).sum(axis=-1, dtype=np.int16) <= radius
+
+
+def _kept(prints: np.ndarray, near: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs are within ``radius``: those that the pivots do not discard are compared bit by bit."""
+    i, j = np.broadcast_arrays(i, j)
+    kept = np.flatnonzero(_may_be_near(near, i, j, radius))
+    return kept[_apart(prints, i[kept], j[kept]) <= radius]
+
+
 def _near(rows: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Links between labels that connect what is near within a key."""
     for key, labels, *seen in _runs(rows):
         prints = np.stack(seen, axis=1).view(np.uint64)
+        near = DISTANCES[prints.view(np.uint16)]
         first = np.flatnonzero(np.diff(key, prepend=-1))
         sizes = np.diff(first, append=len(key))
         found = []
         few = np.repeat(sizes <= FEW, sizes)
         for d in range(1, int(sizes[sizes <= FEW].max(initial=0))):
             i = np.flatnonzero((key[d:] == key[:-d]) & few[d:] & (labels[d:] != labels[:-d]))
-            i = i[_apart(prints, i, i + d) <= radius]
+            i = i[_kept(prints, near, i, i + d, radius)]
             found.append((i, i + d))
         for at, n in zip(first[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
-            found += [(at + i, at + j) for i, j in _grown(prints[at : at + n], radius)]
+            found += [(at + i, at + j) for i, j in _grown(prints[at : at + n], near[at : at + n], radius)]
         if found:
             i, j = (np.concatenate(x) for x in zip(*found))
             low, high = np.minimum(labels[i], labels[j]), np.maximum(labels[i], labels[j])
@@ -159,7 +187,7 @@ def _near(rows: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _grown(prints: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _grown(prints: np.ndarray, coordinates: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links of a spanning forest of the near pairs: each group grows from a member, and who has joined is not looked at again."""
     found, rest, waiting = [], np.arange(len(prints)), []
     while len(rest):
@@ -167,7 +195,8 @@ def _grown(prints: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray
             waiting, rest = [int(rest[0])], rest[1:]
         some = np.array(waiting[-1:])
         waiting.pop()
-        near = _apart(prints, rest, some) <= radius
+        near = np.zeros(len(rest), dtype=bool)
+        near[_kept(prints, coordinates, rest, some, radius)] = True
         if near.any():
             joined, rest = rest[near], rest[~near]
             found.append((np.repeat(some, len(joined)), joined))

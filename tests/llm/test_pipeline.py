@@ -132,3 +132,27 @@ def test_columns_of_any_name_pass_through(spark):
         found = stage(spark, docs, "/root/testdata/sf0.001")
         assert found.columns == docs.columns, name
         assert {tuple(r)[5:] for r in found.collect()} == {(70, 71, 72, 73, 74, 75)}, name
+
+
+def test_pivots_give_keys_and_discard_but_lose_nothing():
+    """Distances to the pivots are kept by block: what differs by no more than the radius is never discarded, most of the rest is."""
+    draw = np.random.default_rng(3)
+    prints = draw.integers(0, 1 << 63, (4000, similar.SEEN), dtype=np.uint64) << np.uint64(1)
+    for row in range(2000, 4000):  # copies with 0 to 60 bits turned
+        bits = np.unpackbits(prints[row - 2000].view(np.uint8), bitorder="little")
+        bits[draw.choice(192, int(draw.integers(0, 61)), replace=False)] ^= 1
+        prints[row] = np.packbits(bits, bitorder="little").view(np.uint64)
+    near = similar.DISTANCES[prints.view(np.uint16)]
+    pivots = [next(b for b in range(1 << 16) if similar.DISTANCES[b, p] == 0) for p in range(similar.PIVOTS)]
+    plain = [[[bin(int(x) ^ p).count("1") for p in pivots] for x in row.view(np.uint16)] for row in prints[:5]]
+    assert near[:5].tolist() == plain
+    i, j = np.arange(2000), np.arange(2000, 4000)
+    for a, b in ((i, j), (i, i[::-1])):
+        apart = similar._apart(prints, a, b)
+        open_ = similar._may_be_near(near, a, b, similar.RADIUS)
+        assert open_[apart <= similar.RADIUS].all()
+        assert similar._kept(prints, near, a, b, similar.RADIUS).tolist() == np.flatnonzero(apart <= similar.RADIUS).tolist()
+    assert open_.mean() < 0.5
+    assert similar._kept(prints, near, i[:1], j[-1:], similar.RADIUS).size == 0
+    keys = {tuple(d): c for d, c in zip(similar.DISTANCES.tolist(), similar.CELLS.tolist())}
+    assert len(set(keys.values())) == len(keys) and all(keys[tuple(d)] == c for d, c in zip(similar.DISTANCES.tolist(), similar.CELLS.tolist()))
